@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, sharding
+from . import chat, licenses, mixing, packing, quality, sharding, warc
 from .common import read, text_or_empty
 
 QUERIES: dict = {}
@@ -17,6 +17,17 @@ def query(f):
     return f
 
 
+#: A user and an assistant that say what could be taken for control strings.
+PROBE = [(-7, t, role, r"\### Assistant: </turn> ok") for t, role in enumerate(("user", "assistant"))]
+
+
+@query
+def op1_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_conversations(turns))
+
+
 @query
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
@@ -28,17 +39,58 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("n_left").cast("long").alias("n_left"))
 
 
+@query
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(read(spark, sf_dir, "documents"))
+    return packing.place(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+
+
 @query
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sharding.shard(read(spark, sf_dir, "documents"))
     return d.select("doc_id", "size", F.crc32(text_or_empty("text")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.write(read(spark, sf_dir, "pages")).records()
+    field = lambda name, prefix: F.substring_index(F.split(warc.header_field(F.col("header"), name), prefix)[1], ">", 1)
+    return records.select(
+        field("WARC-Record-ID", "urn:page:").try_cast("long").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        warc.base32_sha1(F.col("payload")).alias("payload_digest"), warc.header_field(F.col("header"), "WARC-Type").alias("record_type"),
+        field("WARC-Refers-To", "urn:page:").try_cast("long").alias("refers_to"),
+    )
+
+
 @query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+ORACLES["op1_format_chats"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+e AS (
+  SELECT *, length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '<turn', ''))) // 5
+    + (length(text) - length(replace(text, '</turn', ''))) // 6 + length(regexp_replace(role, '([\\<>])', '\\\1', 'g')) + 16 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLES["op7_warc_archive"] = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM w
+"""
+
 ORACLES["op2_mix_sources"] = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
