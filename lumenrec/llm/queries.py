@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, packing, quality, sharding, warc
+from . import chat, licenses, mixing, packing, quality, sharding, substrings, warc
 from .common import read, text_or_empty
 
 QUERIES: dict = {}
@@ -67,6 +67,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substrings.cut(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 ORACLES["op1_format_chats"] = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -157,3 +163,16 @@ FROM p LEFT JOIN g ON p.r = g.r
 
 
 ORACLES["op8_license_scan"] = _license_oracle()
+
+
+ORACLES["op9_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+i AS (SELECT r, unnest(range(1, len(words) - 33)) AS p FROM d),
+v AS (SELECT i.r, p, hash(list_slice(words, p, p + 34)) AS h, md5(array_to_string(list_slice(words, p, p + 34), ' ')) AS m FROM i JOIN d ON i.r = d.r),
+u AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h, m) AS c FROM v) WHERE c > 1),
+g AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS p FROM u),
+a AS (SELECT r, list(p) AS gone FROM g GROUP BY r),
+k AS (SELECT d.doc_id, len(words) AS n, coalesce(len(gone), 0) AS n_gone, CASE WHEN gone IS NULL THEN words ELSE list_transform(list_filter(range(1, len(words) + 1), lambda j: NOT list_contains(gone, j)), lambda j: words[j]) END AS kept
+  FROM d LEFT JOIN a ON d.r = a.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_gone AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
