@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, packing, quality, sharding, substrings, warc
+from . import chat, fingerprints, licenses, mixing, packing, quality, sharding, substrings, warc
 from .common import read, text_or_empty
 
 QUERIES: dict = {}
@@ -73,6 +73,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fingerprints.with_next(read(spark, sf_dir, "documents"), {"fingerprint": fingerprints.fingerprint("text")})
+    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprints.edited_text().alias("edited"), "fingerprint", "next_fingerprint")
+    d = d.withColumn("edited_fingerprint", fingerprints.fingerprint("edited"))
+    return d.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        fingerprints.likeness("fingerprint", "edited_fingerprint").alias("near_edited"), fingerprints.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
 ORACLES["op1_format_chats"] = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
