@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, licenses, mixing, packing, quality, sharding, substrings, warc
+from . import chat, fingerprints, licenses, minhash, mixing, packing, quality, sharding, substrings, warc
 from .common import read, text_or_empty
 
 QUERIES: dict = {}
@@ -33,6 +33,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read(spark, sf_dir, "documents"))
@@ -187,3 +192,16 @@ k AS (SELECT d.doc_id, len(words) AS n, coalesce(len(gone), 0) AS n_gone, CASE W
   FROM d LEFT JOIN a ON d.r = a.r)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_gone AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
+
+ORACLES["op3_minhash_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, unnest(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(2, len(w) - 3) END)) AS p FROM d),
+s AS (SELECT DISTINCT i.doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM i JOIN d ON i.doc_id = d.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM x JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM d JOIN r ON d.doc_id = r.a LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.doc_id
+"""
