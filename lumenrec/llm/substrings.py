@@ -160,3 +160,13 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     strip_ = strip(F.col("text"), F.col("starts"))
     return rows.withColumn("_cut", strip_).select(*[F.col(c) for c in docs.columns], *[F.col(f"_cut.{c}").alias(c) for c in own])
+
+
+def drop_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs without repeated passages, in the columns of docs: an untouched text stays as it is, n_chars is renewed for others, and documents with no word left go."""
+    d = cut(docs, length).where("n_removed = 0 OR n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    out = {c: F.col(c) for c in docs.columns} | {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return d.select(*[c.alias(n) for n, c in out.items()])

@@ -74,7 +74,7 @@ def write(pages: DataFrame, path: str | None = None, date: str = DATE) -> Archiv
     # the stored payload is the response's: joined on digest and id, copies of a payload spread out
     kept = F.coalesce("last", F.lit(-1).cast("long"))
     own = rows.select("digest", "payload", F.coalesce("page_id", F.lit(-1).cast("long")).alias("id"))
-    stored = own.join(groups.select("digest", kept.alias("id")), ["digest", "id"]).select("digest", "payload").dropDuplicates(["digest"])
+    stored = own.join(groups.select("digest", kept.alias("id")), ["digest", "id"]).dropDuplicates(["digest", "id"]).select("digest", "payload")
     stored.write.parquet(f"{path}/payloads")
     named = rows.select("page_id", "url", "digest", F.octet_length("payload").alias("n"), base32_sha1(F.col("payload")).alias("sha1")).join(groups, "digest")
     revisit = ~F.col("page_id").eqNullSafe(F.col("last"))
