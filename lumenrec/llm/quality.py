@@ -98,7 +98,8 @@ def judge(docs: DataFrame, frequent: DataFrame | None = None, min_words: int = M
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their frequent lines; the columns of docs, n_chars renewed where a line went."""
-    judged = judge(docs).where("kept")
+    # the row number keeps the optimizer from moving the filter below the steps of judge(), which would put their expressions into one another
+    judged = judge(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept AND _row >= 0")
     changed = ~F.col("clean_text").eqNullSafe(F.col("text"))
     if "n_chars" in docs.columns:
         judged = judged.withColumn("n_chars", F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")))
