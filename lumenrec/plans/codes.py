@@ -54,7 +54,7 @@ def fixed_codebook(spark, d):
     return v, Q.encode_residual(v, padded), Q.centroid_table(spark, padded)
 
 
-_NEAR = "SELECT * FROM (SELECT item_id, e, code, c, row_number() OVER (PARTITION BY item_id ORDER BY list_distance(e, c), code) AS k FROM {v}, {c}) WHERE k = 1"
+_NEAR = "SELECT * FROM (SELECT item_id, e, {c}.code, c, row_number() OVER (PARTITION BY item_id ORDER BY list_distance(e, c), {c}.code) AS k FROM {v}, {c}) WHERE k = 1"
 _MEAN = "SELECT g AS code, list(m ORDER BY dim) AS c FROM (SELECT g, dim, avg(x) AS m FROM (SELECT {g} AS g, unnest(range(1, 65)) AS dim, unnest(e) AS x FROM {v}) GROUP BY g, dim) GROUP BY g"
 _FIXED = cte(
     v="SELECT vec_id AS item_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings",
