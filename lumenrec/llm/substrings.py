@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_or_empty
+from .common import discard, small_batches, stage, text_or_empty
 from .windows import window_hashes, word_hashes, words_of
 
 LENGTH = 35
@@ -61,7 +61,7 @@ def _in_batches(rows: Iterator[dict], schema: pa.Schema, at_least: int = 100_000
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("at", pa.int32()), ("seed", pa.int64()), ("ahead", pa.int64()), ("behind", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("at", pa.int32()), ("seed", pa.int64()), ("ahead", pa.int32()), ("behind", pa.int32())])
     first, half = levels(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,15 +73,15 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                         continue
                     short, at = anchors_of(w, length)
                     at = np.unique(at)
-                    wide = window_hashes(w, half)
+                    wide = window_hashes(w, half).astype(np.uint32).view(np.int32)
                     ahead, behind = at, at + first - half
-                    ahead = pa.array(_signed(wide[np.minimum(ahead, len(wide) - 1)]), mask=ahead >= len(wide))
-                    behind = pa.array(_signed(wide[np.maximum(behind, 0)]), mask=behind < 0)
+                    ahead = pa.array(wide[np.minimum(ahead, len(wide) - 1)], mask=ahead >= len(wide))
+                    behind = pa.array(wide[np.maximum(behind, 0)], mask=behind < 0)
                     yield {"key": np.full(len(at), key), "at": at.astype(np.int32), "seed": _signed(short[at]), "ahead": ahead, "behind": behind}
 
         yield from _in_batches(rows(), schema)
 
-    return docs.mapInArrow(run, "key long, at int, seed long, ahead long, behind long")
+    return docs.mapInArrow(run, "key long, at int, seed long, ahead int, behind int")
 
 
 def _repeated(rows: DataFrame, *by: str) -> DataFrame:
@@ -89,14 +89,14 @@ def _repeated(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, length: int) -> DataFrame:
-    """key, at, h of every full window whose anchor and half-length parts repeat; docs has key, text, ahead, behind (the anchors that repeat to either side)."""
-    schema = pa.schema([("key", pa.int64()), ("at", pa.int32()), ("h", pa.int64())])
+    """key, at, n (copies), h of every full window whose anchor and half-length parts repeat; docs has key, text, n, ahead, behind (the anchors that repeat to either side)."""
+    schema = pa.schema([("key", pa.int64()), ("at", pa.int32()), ("n", pa.int64()), ("h", pa.int64())])
     first, half = levels(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for key, text, ahead, behind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
+                for key, text, n, ahead, behind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
                     w = word_hashes(words_of(text.as_py()))
                     if len(w) < length:
                         continue
@@ -109,37 +109,50 @@ def _candidates(docs: DataFrame, length: int) -> DataFrame:
                     open_ = (flags[0][anchor] | (into > length - half)) & (flags[1][anchor] | (into < half - first))
                     at = np.flatnonzero(open_)
                     if len(at):
-                        yield {"key": np.full(len(at), key), "at": at.astype(np.int32), "h": _signed(window_hashes(w, length)[at])}
+                        yield {"key": np.full(len(at), key), "at": at.astype(np.int32), "n": np.full(len(at), n), "h": _signed(window_hashes(w, length)[at])}
 
         yield from _in_batches(rows(), schema)
 
-    return docs.mapInArrow(run, "key long, at int, h long")
+    return docs.mapInArrow(run, "key long, at int, n long, h long")
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text"):
-    return F.xxhash64(doc_id, text_or_empty(text))
+def text_key(text: str = "text"):
+    return F.xxhash64(text_or_empty(text))
 
 
 def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, starts (array, in order) of the repeated windows, for rows that have any; key is row_key()."""
-    texts = docs.select(row_key().alias("key"), text_or_empty("text").alias("text"))
+    """key, starts (array, in order) of the repeated windows, for texts that have any; key is text_key(), [-1] stands for all windows."""
+    with small_batches(docs.sparkSession):
+        return _find(docs, length)
+
+
+def _find(docs: DataFrame, length: int) -> DataFrame:
+    texts = docs.select(text_key().alias("key"), text_or_empty("text").alias("text"))
     anchors = stage(_anchors(texts, length), "anchors")
-    alive = stage(anchors.join(_repeated(anchors, "seed"), "seed", "left_semi").select("key", "at", "ahead", "behind"), "anchors-alive")
+    seeds = stage(_repeated(anchors, "seed"), "seeds")
+    alive = stage(anchors.join(seeds, "seed", "left_semi").select("key", "at", "ahead", "behind"), "anchors-alive")
+    discard(anchors)
     parts = alive.select("key", "at", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("ahead").alias("h")), F.struct(F.lit(1).alias("side"), F.col("behind").alias("h")))).alias("p"))
     parts = parts.select("key", "at", "p.side", "p.h").where("h IS NOT NULL")
-    wide = parts.join(_repeated(parts, "side", "h"), ["side", "h"], "left_semi")
+    wide = parts.join(stage(_repeated(parts, "side", "h"), "wide-parts"), ["side", "h"], "left_semi")
     side = lambda s: F.collect_set(F.when(F.col("side") == s, F.col("at")))
     open_ = stage(wide.groupBy("key").agg(side(0).alias("ahead"), side(1).alias("behind")), "anchors-wide")
-    windows = stage(_candidates(texts.join(open_, "key").select("key", "text", "ahead", "behind"), length), "windows")
-    found = windows.join(_repeated(windows, "h"), "h", "left_semi")
-    return stage(found.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("starts")), "repeated-windows")
+    discard(alive)
+    copies = stage(texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    once = texts.join(open_.join(copies, "key", "left"), "key").dropDuplicates(["key"])
+    windows = stage(_candidates(once.select("key", "text", F.coalesce("n", F.lit(1)).alias("n"), "ahead", "behind"), length), "windows")
+    repeated = stage(windows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated-hashes")
+    found = windows.where("n = 1").join(repeated, "h", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    found = stage(found.unionByName(copies.select("key", F.array(F.lit(-1)).alias("starts"))), "repeated-windows")
+    discard(windows)
+    return found
 
 
 def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with kept_text (the words that stay, joined by one space), n_words, n_removed."""
     own = ("kept_text", "n_words", "n_removed")
     docs = docs.drop(*own)
-    rows = docs.withColumn("_key", row_key()).join(find(docs, length).withColumnRenamed("key", "_key"), "_key", "left")
+    rows = docs.withColumn("_key", text_key()).join(find(docs, length).withColumnRenamed("key", "_key"), "_key", "left")
 
     @F.pandas_udf("kept_text string, n_words long, n_removed long")
     def strip(texts, starts):
@@ -151,6 +164,8 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if at is None or not len(at):
                 out.append((b" ".join(words).decode(), len(words), 0))
                 continue
+            if at[0] < 0:
+                at = np.arange(max(0, len(words) - length + 1))
             edge = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(edge, np.asarray(at), 1)
             np.add.at(edge, np.asarray(at) + length, -1)
