@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage
 from .windows import window_hashes, word_hashes, words_of
 
 SHINGLE, SIMILARITY = 5, 75
@@ -169,6 +169,11 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    with small_batches(docs.sparkSession, 100):
+        return _near_duplicates(docs, percent, star_rounds)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, star_rounds: int) -> DataFrame:
     signed = stage(signatures(docs), "signatures")
     node = F.coalesce(F.min("doc_id"), F.xxhash64("c0", "c1"))
     first = F.min(F.struct("doc_id", *S, "bands"))

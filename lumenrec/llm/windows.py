@@ -13,7 +13,7 @@ class _Words(dict):
     """64-bit hashes of words; words met before are looked up."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word, 7)
         return found
