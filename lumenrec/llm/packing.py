@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage
+from .common import small_batches, stage
 
 CAPACITY, UNIT, END = 1024, 8, 0
 #: The linear program ends where its bound proves it this close to the optimum.
@@ -166,7 +166,8 @@ def _best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[
 def place(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, salt_rows: int = 20_000) -> DataFrame:
     """The pieces, whatever columns they carry, with sequence_id and offset."""
     spark = cut.sparkSession
-    cut = stage(cut.withColumns({"_class": F.ceil(F.col("length") / unit).cast("int")}), "pieces")
+    with small_batches(spark):
+        cut = stage(cut.withColumns({"_class": F.ceil(F.col("length") / unit).cast("int")}), "pieces")
     # ranks within a class: salted by hash, so that a hot length is many small sorts
     salts = max(1, -(-cut.count() // salt_rows))
     salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))

@@ -12,6 +12,11 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def few_rows_for_python(spark: SparkSession) -> None:
+    """For queries whose last step runs Python when the caller writes the result: whole texts are large rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 400)
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -74,12 +79,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows_for_python(spark)
     d = substrings.cut(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few_rows_for_python(spark)
     d = fingerprints.with_next(read(spark, sf_dir, "documents"), {"fingerprint": fingerprints.fingerprint("text")})
     d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprints.edited_text().alias("edited"), "fingerprint", "next_fingerprint")
     d = d.withColumn("edited_fingerprint", fingerprints.fingerprint("edited"))
