@@ -35,12 +35,22 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.place(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
 
 
+def _bounded(f):
+    """The stage with few rows at a time for Python: whole texts are large rows, and workers keep what they once took."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 400)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("near duplicates", near_duplicates),
-    ("substring dedup", repeated_passages),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
+    ("quality rules", _bounded(quality_rules)),
+    ("near duplicates", _bounded(near_duplicates)),
+    ("substring dedup", _bounded(repeated_passages)),
+    ("mixing", _bounded(mix_sources)),
+    ("packing", _bounded(pack_sequences)),
 ]
 
 #: Packing cannot be expressed in SQL; tests/llm hold the result against a brute-force version.
