@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrec.functions.staging import new_path, shared_dir  # noqa: F401 - shared_dir is used through this module
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only a local-mode session without that setting gets a folder of its own; on a cluster its
-    absence is an error, since a machine-local folder would lose data with an executor.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-")
-    return found.rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and rereads it: lineage ends there, a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that only this job needed
     staged = spark.read.schema(df.schema).parquet(path)
