@@ -194,7 +194,7 @@ def allowed_next(spark, d):
 
 
 def samples(spark, d):
-    return I.sliding_window_samples(T.ordered(spark, d), 5).where("pos % 7 = 1")
+    return I.sliding_window_samples(T.ordered(spark, d), 5)
 
 
 #: A sample in seven of those with histories of five; items from 1, item 0 dropped as the padding id.
