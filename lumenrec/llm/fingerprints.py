@@ -1,10 +1,11 @@
-"""Document fingerprints: a Merkle tree over paragraphs and sections.
+"""Document fingerprints: a Merkle tree over phrases, paragraphs and sections.
 
 A paragraph is a line. A section ends after a paragraph whose hash says so, so an edit moves no later
 section's bounds. Paragraph hashes cover exact bytes, section hashes their paragraphs', the root the
 sections': equal roots are equal texts, and where trees differ only differing sections have to be
-opened. For likeness the fingerprint also carries the smallest hashes of the text's phrases (word runs
-that end at words chosen by hash).
+opened. Below the paragraphs stand their phrases (word runs that end at words chosen by hash). The
+fingerprint carries the whole tree with sizes in words, and likeness is the weight of the branches that
+two trees share: no sample of them, and no rows to shuffle for pairs whose trees are in one row.
 
 Defined cases: a null text is empty; the next document of the last is the first; nulls come before all
 ids and ties in doc_id are ordered by text; a single document is its own next; an empty table gives an
@@ -14,6 +15,8 @@ empty table; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from base64 import urlsafe_b64encode
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -23,16 +26,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from .common import text_or_empty
-from .windows import mix, word_hashes, words_of
+from .windows import mix, word_hashes
 
-SKETCH = 64
 MOST_WORDS = 16
+#: Digits of 6 bits: of a section's or paragraph's hash in the fingerprint, and of a phrase.
+HASH, LEAF = 11, 6
+#: The largest likeness of texts that differ.
+BELOW_ONE = float(np.nextafter(1.0, 0.0))
 #: Ranges of ids are cut at about so many rows, into so many at most; a range is streamed.
 RANGE_ROWS, MOST_RANGES = 2000, 20_000
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C17, k, 1 << 64) for k in range(MOST_WORDS + 1)], dtype=np.uint64)
 
 
+_DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", dtype="S1")
+_VALUE = {c.decode(): i for i, c in enumerate(_DIGITS.tolist())}
+
+
+def _short(h: bytes) -> str:
+    return urlsafe_b64encode(h)[:HASH].decode()
+
+
 def _digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
@@ -51,39 +65,83 @@ def tree_of(text: str) -> tuple[str, list[tuple[bytes, list[tuple[bytes, int, in
     return _digest(b"".join(s[0] for s in sections)).hex(), sections
 
 
-def phrases(text: str) -> np.ndarray:
-    """32-bit hashes of the phrases, distinct and in order: a phrase ends at a word with a hash divisible by 4, or after 16 words."""
-    w = word_hashes(words_of(text))
+def leaves(lines: list[list[bytes]]) -> tuple[str, np.ndarray, np.ndarray]:
+    """The phrases of lines of words in order, LEAF digits each (32 bits of hash, 4 of its words less one), and each one's words and line.
+
+    A phrase ends at a word with a hash divisible by 4, after 16 words, or with its line.
+    """
+    counts = np.array([len(x) for x in lines])
+    w = word_hashes([x for line in lines for x in line])
     if not len(w):
-        return np.zeros(0, dtype=np.uint32)
-    starts = np.concatenate([[0], np.flatnonzero((w[:-1] & np.uint64(3)) == 0) + 1])
+        return "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    ends = (w & np.uint64(3)) == 0
+    bounds = np.cumsum(counts)
+    ends[bounds[counts > 0] - 1] = True
+    starts = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
     lengths = np.diff(np.append(starts, len(w)))
     if lengths.max() > MOST_WORDS:
         starts = np.concatenate([np.arange(s, s + n, MOST_WORDS) for s, n in zip(starts, lengths)])
         lengths = np.diff(np.append(starts, len(w)))
     place = np.arange(len(w)) - np.repeat(starts, lengths)
-    sums = np.add.reduceat(w * _POWERS[place], starts)
-    return np.unique((mix(sums) >> np.uint64(32)).astype(np.uint32))
+    sums = mix(np.add.reduceat(w * _POWERS[place], starts)) >> np.uint64(32)
+    codes = (sums << np.uint64(4)) | (lengths - 1).astype(np.uint64)
+    digits = (codes[:, None] >> np.arange(6 * LEAF - 6, -1, -6, dtype=np.uint64)) & np.uint64(63)
+    return _DIGITS[digits.astype(np.int64)].tobytes().decode(), lengths, np.searchsorted(bounds, starts, side="right")
 
 
 def fingerprint_of(text: str | None) -> str:
-    """root:sketch, both in hex; the sketch's hashes have 8 digits each."""
-    text = text or ""
-    return f"{tree_of(text)[0]}:{phrases(text)[:SKETCH].astype('>u4').tobytes().hex()}"
+    """The whole tree: root:section/section..., a section as hash, words and its paragraphs, a paragraph as hash, words and its phrases."""
+    root, sections = tree_of(text or "")
+    lines = [line.encode().split() for line in (text or "").split("\n")]
+    phrases, _, line_of = leaves(lines)
+    at = LEAF * np.searchsorted(line_of, np.arange(len(lines) + 1))
+    out, i = [], 0
+    for h, paragraphs in sections:
+        parts = [f"{_short(p)}{len(lines[k])}.{phrases[at[k] : at[k + 1]]}" for k, (p, _, _) in enumerate(paragraphs, i)]
+        out.append(",".join([f"{_short(h)}{sum(map(len, lines[i : i + len(paragraphs)]))}", *parts]))
+        i += len(paragraphs)
+    return f"{root}:{'/'.join(out)}"
+
+
+def _unlike(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+    """What of a and b has no equal hash (the first HASH characters) on the other side."""
+    n, m = Counter(x[:HASH] for x in a), Counter(x[:HASH] for x in b)
+    both, rest = n & m, []
+    for side in (a, b):
+        left, kept = both.copy(), []
+        for x in side:
+            if left[x[:HASH]] > 0:
+                left[x[:HASH]] -= 1
+            else:
+                kept.append(x)
+        rest.append(kept)
+    return rest[0], rest[1]
+
+
+def _words_in(nodes: list[str], end: str) -> int:
+    return sum(int(x[HASH:].partition(end)[0]) for x in nodes)
 
 
 def likeness_of(a: str, b: str) -> float:
-    """1 for equal roots, else about the share of phrases in common (twice the common ones by the sum of both), below 1."""
-    ra, _, sa = a.partition(":")
-    rb, _, sb = b.partition(":")
+    """1 for equal roots, else the share of words in common branches (twice the common ones by the sum of both), below 1.
+
+    Only sections without an equal one are opened, and in them only paragraphs without an equal one: what is compared by
+    phrases is the rest. Every phrase counts, so the share is exact at any length.
+    """
+    ra, _, ta = a.partition(":")
+    rb, _, tb = b.partition(":")
     if ra == rb:
         return 1.0
-    x, y = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (sa, sb))
-    smallest = set(sorted(x | y)[:SKETCH])
-    if not smallest:
+    x, y = ta.split("/"), tb.split("/")
+    total = _words_in(x, ",") + _words_in(y, ",")
+    if not total:
         return 0.0
-    j = len(smallest & x & y) / len(smallest)
-    return min(2 * j / (1 + j), 0.999)
+    x, y = _unlike(x, y)
+    x, y = _unlike([p for s in x for p in s.split(",")[1:]], [p for s in y for p in s.split(",")[1:]])
+    opened = _words_in(x, ".") + _words_in(y, ".")
+    p, q = (Counter(s[i : i + LEAF] for n in side for s in [n.partition(".")[2]] for i in range(0, len(s), LEAF)) for side in (x, y))
+    shared = sum(n * (_VALUE[leaf[-1]] % MOST_WORDS + 1) for leaf, n in (p & q).items())
+    return min((total - opened + 2 * shared) / total, BELOW_ONE)
 
 
 @F.pandas_udf(T.StringType())
