@@ -29,3 +29,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The staged tables of one run of an operator, in a folder of their own; drop() deletes those that no later step reads."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self._written = spark, new_path(spark, name), {}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        paths = self._written.setdefault(name, [])
+        paths.append(f"{self.path}/{name}-{len(paths)}")
+        df.write.parquet(paths[-1])
+        return self.spark.read.schema(df.schema).parquet(paths[-1])
+
+    def drop(self, *names: str) -> None:
+        for path in [p for n in names for p in self._written.pop(n, [])]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
