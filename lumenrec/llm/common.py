@@ -7,29 +7,13 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenrec.functions.staging import new_path, shared_dir  # noqa: F401 - shared_dir is used through this module
+from lumenrec.functions.staging import Scratch, shared_dir, stage  # noqa: F401 - used through this module
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and rereads it: lineage ends there, a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that only this job needed
-    staged = spark.read.schema(df.schema).parquet(path)
-    staged._staged_at = path
-    return staged
-
-
-def discard(staged: DataFrame) -> None:
-    """Deletes a staged table that no later step reads."""
-    spark = staged.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(staged._staged_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -44,6 +28,12 @@ def small_batches(spark: SparkSession, rows: int = 400):
         spark.conf.set(key, before)
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns renamed to in0, in1, ..., and the new name of each: names used inside cannot clash with any of df's."""
+    names = {c: f"in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

@@ -141,13 +141,13 @@ SELECT p.doc_id, p.size, b.source_size, b.target,
 FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
 
-ORACLES["op4_quality_rules"] = r"""
+def quality_oracle(max_docs: int = quality.MAX_DOCS) -> str:
+    return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 n AS (SELECT r, source, text, l AS line, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT r, source, text, unnest(lines) AS l FROM d)),
-h AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-q AS (SELECT n.source, n.norm FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source GROUP BY n.source, n.norm, h.docs HAVING count(DISTINCT n.text) > 10 AND count(DISTINCT n.text) > 0.2 * h.docs),
+q AS (SELECT source, norm FROM n GROUP BY source, norm HAVING count(DISTINCT text) > {max_docs}),
 g AS (SELECT n.r, sum(n.n) AS gone FROM n JOIN q ON n.source IS NOT DISTINCT FROM q.source AND n.norm = q.norm GROUP BY n.r),
 i AS (SELECT r, unnest(range(1, len(words) - 3)) AS p FROM d),
 v AS (SELECT i.r, p, array_to_string(list_slice(words, p, p + 4), ' ') AS win FROM i JOIN d ON i.r = d.r),
@@ -164,6 +164,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+ORACLES["op4_quality_rules"] = quality_oracle()
+
+
 def _license_oracle() -> str:
     rows = ", ".join(f"({t}, '{label}', [{', '.join(repr(w) for w in licenses.template_words(text))}])" for t, (label, text) in enumerate(licenses.TEMPLATES))
     at = " OR ".join("(" + " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(p.split(), 1)) + ")" for p in licenses.PHRASES)

@@ -62,6 +62,6 @@ def window_sums(w: np.ndarray, size: int, p: int = _P) -> np.ndarray:
     return total
 
 
-def window_hashes(w: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(w: np.ndarray, size: int, p: int = _P) -> np.ndarray:
     """64-bit hashes of all windows of so many words, by start."""
-    return mix(window_sums(w, size))
+    return mix(window_sums(w, size, p))
