@@ -211,7 +211,7 @@ def test_keep_first_agrees_with_kept(spark):
 
 def test_frequent_lines_at_a_low_limit(spark, hard, duck_of):
     """The rule itself against SQL where lines go: few tables have lines above the limit of production."""
-    for path, most in ((SF, 2), (hard, 1)):
+    for path, most in ((SF, 2), (hard, 0)):
         con = duck_of(path)
         if path == SF:
             con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
