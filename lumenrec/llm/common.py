@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenrec.functions.staging import Scratch, shared_dir, stage  # noqa: F401 - used through this module
+from lumenrec.functions.staging import Scratch, new_path, shared_dir, stage  # noqa: F401 - used through this module
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,9 @@ section's bounds. Paragraph hashes cover exact bytes, section hashes their parag
 sections': equal roots are equal texts, and where trees differ only differing sections have to be
 opened. Below the paragraphs stand their phrases (word runs that end at words chosen by hash). The
 fingerprint carries the whole tree with sizes in words, and likeness is the weight of the branches that
-two trees share: no sample of them, and no rows to shuffle for pairs whose trees are in one row.
+two trees share, not a sample of them. Digests are tagged with their level, so no paragraph passes for
+a section. A document meets the next one by doc_id in a stream over sorted ranges of ids: texts are
+shuffled once, trees never, and each tree is computed once.
 
 Defined cases: a null text is empty; the next document of the last is the first; nulls come before all
 ids and ties in doc_id are ordered by text; a single document is its own next; an empty table gives an
@@ -17,12 +19,13 @@ from __future__ import annotations
 import hashlib
 from base64 import urlsafe_b64encode
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from .common import text_or_empty
@@ -33,8 +36,10 @@ MOST_WORDS = 16
 HASH, LEAF = 11, 6
 #: The largest likeness of texts that differ.
 BELOW_ONE = float(np.nextafter(1.0, 0.0))
-#: Ranges of ids are cut at about so many rows, into so many at most; a range is streamed.
-RANGE_ROWS, MOST_RANGES = 2000, 20_000
+#: Ranges of ids hold about so many rows at least, where tasks would else be without work, and so many at most; a range is streamed.
+RANGE_ROWS, LARGE_RANGE_ROWS = 1000, 50_000
+#: Code points of text and tree that a task gathers before it hands rows on.
+OUT_CHARS = 4 << 20
 
 _POWERS = np.array([pow(0x9E3779B97F4A7C17, k, 1 << 64) for k in range(MOST_WORDS + 1)], dtype=np.uint64)
 
@@ -47,8 +52,8 @@ def _short(h: bytes) -> str:
     return urlsafe_b64encode(h)[:HASH].decode()
 
 
-def _digest(raw: bytes) -> bytes:
-    return hashlib.blake2b(raw, digest_size=16).digest()
+def _digest(raw: bytes, level: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16, person=level).digest()
 
 
 def tree_of(text: str) -> tuple[str, list[tuple[bytes, list[tuple[bytes, int, int]]]]]:
@@ -56,13 +61,13 @@ def tree_of(text: str) -> tuple[str, list[tuple[bytes, list[tuple[bytes, int, in
     sections, paragraphs, at = [], [], 0
     lines = text.split("\n")
     for i, line in enumerate(lines):
-        h = _digest(line.encode())
+        h = _digest(line.encode(), b"paragraph")
         paragraphs.append((h, at, at + len(line)))
         at += len(line) + 1
         if h[0] % 4 == 0 or i == len(lines) - 1:
-            sections.append((_digest(b"".join(p[0] for p in paragraphs)), paragraphs))
+            sections.append((_digest(b"".join(p[0] for p in paragraphs), b"section"), paragraphs))
             paragraphs = []
-    return _digest(b"".join(s[0] for s in sections)).hex(), sections
+    return _digest(b"".join(s[0] for s in sections), b"root").hex(), sections
 
 
 def leaves(lines: list[list[bytes]]) -> tuple[str, np.ndarray, np.ndarray]:
@@ -181,16 +186,12 @@ def differences(old: DataFrame, new: DataFrame) -> DataFrame:
     return opened.join(old.where("paragraph IS NOT NULL").select("doc_id", "hash"), ["doc_id", "hash"], "left_anti")
 
 
-def with_next(docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
-    """doc_id, text, the columns of carry (made from doc_id and text), and next_text and next_<name> of the next document by doc_id.
-
-    Ids are cut into ranges; the first document of each range is also sent behind the range before it,
-    so texts are shuffled once and no range waits for another.
-    """
-    spark = docs.sparkSession
-    d = docs.select("doc_id", text_or_empty("text").alias("text"))
+def id_ranges(d: DataFrame) -> DataFrame:
+    """d (doc_id, text) with part, the range of its id, and the first row of every range once more at the end (ahead = 1) of the range before it; the last range ends with the first row of all."""
+    spark = d.sparkSession
     rows, nulls, least = d.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id")).first()
-    ranges = max(1, min(MOST_RANGES, rows // RANGE_ROWS))
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, rows // LARGE_RANGE_ROWS, min(rows // RANGE_ROWS, tasks))
     cuts = d.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 10 * ranges + 100)).first()[0] if ranges > 1 else []
     bounds = np.array(sorted({c for c in cuts or [] if c > least or nulls}), dtype=np.int64)
 
@@ -201,16 +202,41 @@ def with_next(docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
         out[known] = np.searchsorted(bounds, doc_id[known].astype("int64"), side="right")
         return pd.Series(out)
 
-    heads = [(int(b), k) for k, b in enumerate(bounds)] + [(None if nulls else least, len(bounds))]  # bounded by MOST_RANGES
+    heads = [(int(b), k) for k, b in enumerate(bounds)] + [(None if nulls else least, len(bounds))]  # a row for LARGE_RANGE_ROWS rows, or for a task
     heads = spark.createDataFrame(heads, "head long, part int")
     first = d.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("part").agg(F.min("text").alias("text"))
-    every = d.select(range_of("doc_id").alias("part"), F.lit(0).alias("ahead"), "doc_id", "text").unionByName(first.select("part", F.lit(1).alias("ahead"), F.lit(None).cast("long").alias("doc_id"), "text"))
-    every = every.withColumns(carry)
-    order = W.partitionBy("part").orderBy("ahead", "doc_id", "text")
-    return every.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", *carry)}).where("ahead = 0").drop("part", "ahead")
-
-
-def edited_text() -> Column:
-    """The text whose last half is replaced by as much of the next document's beginning."""
-    half = F.floor(F.length("text") / 2).cast("int")
-    return F.concat(F.col("text").substr(F.lit(1), F.length("text") - half), F.col("next_text").substr(F.lit(1), half))
+    every = d.select(range_of("doc_id").alias("part"), F.lit(0).alias("ahead"), "doc_id", "text")
+    return every.unionByName(first.select("part", F.lit(1).alias("ahead"), F.lit(None).cast("long").alias("doc_id"), "text"))
+
+
+PAIRS = "doc_id long, text string, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, edited (the last half of its code points replaced by as many of the next document's first), both fingerprints, and the likeness to the edited text's and to the next document's."""
+    d = id_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")))
+    names = [x.split()[0] for x in PAIRS.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in PAIRS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held, chars = None, {c: [] for c in names}, 0
+        for batch in batches:
+            for part, ahead, doc_id, text in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
+                text = text.as_py()
+                tree = fingerprint_of(text)
+                if before and before[0] == part:
+                    _, _, own_id, own, own_tree = before
+                    half = len(own) // 2
+                    edited = own[: len(own) - half] + text[:half]
+                    edited_tree = fingerprint_of(edited)
+                    for c, v in zip(names, (own_id, own, edited, own_tree, edited_tree, likeness_of(own_tree, edited_tree), likeness_of(own_tree, tree))):
+                        held[c].append(v)
+                    chars += len(own) + len(edited) + len(own_tree) + len(edited_tree)
+                    if chars >= OUT_CHARS:
+                        yield pa.record_batch(held, schema=schema)
+                        held, chars = {c: [] for c in names}, 0
+                before = (part, ahead, doc_id, text, tree)
+        yield pa.record_batch(held, schema=schema)
+
+    return d.repartition("part").sortWithinPartitions("part", "ahead", "doc_id", "text").mapInArrow(run, PAIRS)

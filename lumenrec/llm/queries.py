@@ -6,17 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, fingerprints, licenses, minhash, mixing, packing, quality, sharding, substrings, warc
-from .common import read, text_or_empty
+from .common import new_path, read, text_or_empty
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def few_rows_for_python(spark: SparkSession) -> None:
-    """For queries whose last step runs Python when the caller writes the result: whole texts are large rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 400)
-
-
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -57,7 +52,7 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sharding.shard(read(spark, sf_dir, "documents"))
+    d = sharding.write_shards(sharding.shard(read(spark, sf_dir, "documents")), new_path(spark, "shards"))
     return d.select("doc_id", "size", F.crc32(text_or_empty("text")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -79,21 +74,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few_rows_for_python(spark)
     d = substrings.cut(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 @query
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few_rows_for_python(spark)
-    d = fingerprints.with_next(read(spark, sf_dir, "documents"), {"fingerprint": fingerprints.fingerprint("text")})
-    d = d.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprints.edited_text().alias("edited"), "fingerprint", "next_fingerprint")
-    d = d.withColumn("edited_fingerprint", fingerprints.fingerprint("edited"))
-    return d.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        fingerprints.likeness("fingerprint", "edited_fingerprint").alias("near_edited"), fingerprints.likeness("fingerprint", "next_fingerprint").alias("near_next"),
-    )
+    d = fingerprints.with_next(read(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 ORACLES["op1_format_chats"] = r"""

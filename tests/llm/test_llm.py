@@ -305,6 +305,26 @@ def test_shards(spark, hard):
     assert all(sorted(s.slot) == list(range(len(s))) for _, s in small.groupby("shard")) and len(small) == docs.count()
 
 
+def test_shards_follow_from_the_rows_alone(spark, tmp_path):
+    docs, key = spark.read.parquet(f"{SF}/documents.parquet"), "spark.sql.shuffle.partitions"
+    before, found = spark.conf.get(key), []
+    try:
+        for n in (3, 8, 211):
+            spark.conf.set(key, n)
+            path = f"{tmp_path}/{n}"
+            back = sharding.write_shards(sharding.shard(docs.repartition(n), 5, bucket_rows=16), path)
+            found.append(sorted(map(tuple, back.select("doc_id", "text", "shard", "slot", "grown_shard").collect())))
+    finally:
+        spark.conf.set(key, before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == docs.count()
+    for part in os.listdir(f"{tmp_path}/3/shard=2"):
+        if part.endswith(".parquet"):
+            slots = [r.slot for r in spark.read.parquet(f"{tmp_path}/3/shard=2/{part}").select("slot").collect()]
+            assert slots == sorted(slots)
+    by_slot = [i for i, *_ in sorted((r for r in found[0] if r[2] == 0), key=lambda r: r[3])]
+    assert by_slot != sorted(by_slot)
+
+
 def test_warc_records(spark, hard):
     a = warc.write(spark.read.parquet(f"{hard}/pages.parquet"))
     assert a.payloads().count() == 4
