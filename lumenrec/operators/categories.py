@@ -36,7 +36,7 @@ def initial_category(items: DataFrame, composite: bool = True) -> DataFrame:
     found = F.when(F.size("path") > 0, _last(F.col("path"), 2 if composite else 1))
     more = []
     if "genres" in items.columns:
-        more.append(F.get("genres", F.lit(0)))
+        more.append(F.nullif(F.trim(F.get("genres", F.lit(0))), F.lit("")))
     if "brand" in items.columns:
         more.append(F.when(F.trim("brand") != "", F.concat(F.lit("Brand: "), F.trim("brand"))))
     if "codes" in items.columns:

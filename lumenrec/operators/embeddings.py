@@ -59,12 +59,12 @@ def align_embeddings(ids: DataFrame, vectors: DataFrame, dim: int, unit: bool =
 
 
 def standardize_pca(vectors: DataFrame, pca_dim: int) -> tuple[DataFrame, float]:
-    """(item_id, embedding) in pca_dim dimensions after z-scores, and the variance kept; the input where pca_dim isn't between 0 and its width."""
+    """(item_id, embedding) in pca_dim dimensions after z-scores, and the variance kept; the input where pca_dim isn't between 0 and its width, or where the fit fails (vectors of several widths, none at all)."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    dim = vectors.select(F.size("embedding")).first()[0]
-    if not 0 < pca_dim < dim:
+    widths = [r[0] for r in vectors.select(F.size("embedding")).distinct().limit(2).collect()]
+    if len(widths) != 1 or not 0 < pca_dim < widths[0] or vectors.limit(2).count() < 2:
         return vectors, 1.0
     rows = vectors.select("item_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     scaled = StandardScaler(withMean=True, withStd=True, inputCol="v", outputCol="z").fit(rows).transform(rows)
@@ -82,13 +82,15 @@ def fuse_modalities(text: DataFrame, image: DataFrame, text_weight: float = 0.5,
     return rows.select("item_id", F.when(F.col("t").isNull() | F.col("i").isNull(), missing).otherwise(fused).alias("embedding"))
 
 
-def cf_item_vectors(sequences: DataFrame, dim: int = 32, seed: int = 42, window: int = 5) -> DataFrame:
-    """item_id, embedding: items as words of users' sequences."""
+def cf_item_vectors(sequences: DataFrame, dim: int = 32, seed: int = 42, window: int = 5, partition_users: int = 5000) -> DataFrame:
+    """item_id, embedding: items as words of users' sequences. The item vectors, not the users, must fit the driver and each task."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     words = sequences.select(F.transform("items", lambda x: x.cast("string")).alias("words"))
-    model = Word2Vec(vectorSize=dim, minCount=1, seed=seed, windowSize=window, inputCol="words", outputCol="v", maxIter=1).fit(words)
+    # every pass trains the partitions side by side and averages them, so there is one for so many users and one more pass for every doubling
+    parts = max(1, -(-sequences.count() // partition_users))
+    model = Word2Vec(vectorSize=dim, minCount=1, seed=seed, windowSize=window, inputCol="words", outputCol="v", numPartitions=parts, maxIter=parts.bit_length()).fit(words)
     return model.getVectors().select(F.col("word").cast("long").alias("item_id"), vector_to_array("vector").cast("array<float>").alias("embedding"))
 
 

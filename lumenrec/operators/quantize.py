@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lumenrec.functions.staging import Scratch
+
 from .embeddings import l2_norm, matrices
 
 
@@ -58,11 +60,13 @@ def _sums(vectors: DataFrame, fixed: np.ndarray, now: np.ndarray, cosine: bool,
         yield pa.record_batch([pa.array(m, pa.int32()), pa.array(c, pa.int32()), pa.array(count[m, c]), pa.array(list(total[m, c]), pa.list_(pa.float64()))], schema=schema)
 
     rows = vectors.select("item_id", "embedding").mapInArrow(run, "part int, code int, n long, total array<double>")
-    added = lambda a, x: F.zip_with(a, x, lambda p, q: p + q)
-    zero = F.array_repeat(F.lit(0.0), now.shape[2])
-    # parts * codes rows at most, whatever the input
-    summed = rows.groupBy("part", "code").agg(F.sum("n").alias("n"), F.aggregate(F.collect_list("total"), zero, added).alias("total"))
-    return {(r["part"], r["code"]): (np.array(r["total"]), r["n"]) for r in summed.collect()}
+    return {(r["part"], r["code"]): (np.array(r["total"]), r["n"]) for r in _added(rows, "part", "code").collect()}
+
+
+def _added(rows: DataFrame, *by: str) -> DataFrame:
+    """by, n, total: the sums of the tasks' counts and vectors, added number by number with map-side combining; a row a key, whatever the input."""
+    each = rows.select(*by, "n", F.posexplode("total").alias("dim", "x")).groupBy(*by, "dim").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    return each.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda v: v["x"]).alias("total"))
 
 
 def _seeds(sample: np.ndarray, k: int, seed: int, cosine: bool) -> np.ndarray:
@@ -98,14 +102,17 @@ def _lloyd(vectors: DataFrame, fixed: np.ndarray, now: np.ndarray, cosine: bool,
 
 def fit_residual_kmeans(vectors: DataFrame, levels: int, k: int, iterations: int = 5, cosine: bool = False, sample: int = 4096, seed: int = 42, start: np.ndarray | None = None) -> np.ndarray:
     """Centroids [level, code, dim], level by level by full Lloyd iterations; plain means also for cosine assignment; empty clusters start anew from the sample."""
-    rows = _sample(vectors, sample, seed)
-    fixed = np.zeros((0, k, rows.shape[1]))
+    left, none, books = _sample(vectors, sample, seed), np.zeros((0, k, 0)), []
+    scratch = Scratch(vectors.sparkSession, "residuals")
     for level in range(levels):
-        left = _residual_codes(rows, fixed, cosine)[1]
+        if books:  # what the last level leaves is written once; iterations then read it and encode one level
+            vectors = scratch.stage(residuals(vectors, books[-1], cosine), f"level{level}")
+            scratch.drop(f"level{level - 1}")
+            left = _residual_codes(left, books[-1], cosine)[1]
         first = start[level] if start is not None else _seeds(left, k, seed + level, cosine)
-        now = _lloyd(vectors, fixed, first[None], cosine, iterations, left[None], seed + level)
-        fixed = np.concatenate([fixed, now])
-    return fixed
+        books.append(_lloyd(vectors, none, first[None], cosine, iterations, left[None], seed + level))
+    scratch.drop(f"level{levels - 1}")
+    return np.concatenate(books)
 
 
 def fit_pq(vectors: DataFrame, parts: int, k: int, iterations: int = 5, sample: int = 256_000, seed: int = 42) -> np.ndarray:
@@ -134,17 +141,27 @@ def encode_pq(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return vectors.select("item_id", "embedding").mapInArrow(run, "item_id long, codes array<int>")
 
 
-def apply_rotation(vectors: DataFrame, rotation: np.ndarray) -> DataFrame:
+def _mapped(vectors: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """item_id, embedding: every vector through a function of matrices."""
     schema = pa.schema([("item_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in matrices(batches):
-            y = x @ rotation
+            y = of(x)
             yield pa.record_batch([ids, pa.FixedSizeListArray.from_arrays(y.ravel(), y.shape[1]).cast(pa.list_(pa.float64()))], schema=schema)
 
     return vectors.select("item_id", "embedding").mapInArrow(run, "item_id long, embedding array<double>")
 
 
+def residuals(vectors: DataFrame, centroids: np.ndarray, cosine: bool = False) -> DataFrame:
+    """item_id, embedding: what the given levels leave of each vector."""
+    return _mapped(vectors, lambda x: _residual_codes(x, centroids, cosine)[1])
+
+
+def apply_rotation(vectors: DataFrame, rotation: np.ndarray) -> DataFrame:
+    return _mapped(vectors, lambda x: x @ rotation)
+
+
 def fit_opq(vectors: DataFrame, parts: int, k: int, rounds: int = 3, iterations: int = 3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """A rotation and product centroids, in turn: codes for the rotated vectors, then the rotation that brings vectors closest to their codewords."""
     if k & (k - 1):
@@ -164,9 +181,8 @@ def fit_opq(vectors: DataFrame, parts: int, k: int, rounds: int = 3, iterations:
 
         rows = vectors.select("item_id", "embedding").mapInArrow(cross, "row int, total array<double>")
         # dim rows of dim numbers
-        zero = F.array_repeat(F.lit(0.0), dim)
-        summed = rows.groupBy("row").agg(F.aggregate(F.collect_list("total"), zero, lambda a, x: F.zip_with(a, x, lambda p, q: p + q)).alias("total"))
-        m = np.array([r["total"] for r in sorted(summed.collect(), key=lambda r: r["row"])])
+        summed = _added(rows.withColumn("n", F.lit(1)), "row").collect()
+        m = np.array([r["total"] for r in sorted(summed, key=lambda r: r["row"])])
         u, _, vt = np.linalg.svd(m)
         rotation = u @ vt
         turned = apply_rotation(vectors, rotation)

@@ -6,42 +6,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lumenrec.functions.staging import stage
 
-def score_items_by_codes(logits: DataFrame, codebook: DataFrame, k: int, block: int = 4096) -> DataFrame:
+
+def score_items_by_codes(logits: DataFrame, codebook: DataFrame, k: int, block: int = 4096, user_block: int = 512) -> DataFrame:
     """user, rank, item_id (from 1), score: the k items with the largest sum over levels of the log-softmax at their codes.
 
-    Items are laid out in blocks, users meet each block as a matrix product, and each block keeps its k
-    best a user, so users times items are never rows.
+    Users and items are laid out in blocks of bounded size, however many there are. A block of users meets
+    a block of items as one matrix of scores and keeps its k best a user, so users times items are never rows.
     """
     levels = codebook.select(F.size("codes")).first()[0]
     items = codebook.select(F.floor(F.col("item_id") / block).alias("block"), F.struct(F.col("item_id").alias("i"), F.col("codes").alias("c")).alias("s"))
-    blocks = items.groupBy("block").agg(F.array_sort(F.collect_list("s")).alias("items"))  # at most `block` items each
+    blocks = items.groupBy("block").agg(F.array_sort(F.collect_list("s")).alias("s")).select(F.transform("s", lambda x: x["i"]).alias("ids"), F.flatten(F.transform("s", lambda x: x["c"])).alias("codes"))
     users = logits.groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "logits"))), lambda x: x["logits"]).alias("levels"))
-    users = users.withColumn("group", F.pmod(F.xxhash64("user"), F.lit(64)).cast("int"))
-    packed = users.groupBy("group").agg(F.collect_list(F.struct("user", "levels")).alias("users"))
+    groups = max(1, -(-logits.select("user").distinct().count() // user_block))
+    users = users.withColumn("group", F.pmod(F.xxhash64("user"), F.lit(groups)).cast("int"))
+    packed = users.groupBy("group").agg(F.collect_list(F.struct("user", F.flatten("levels").alias("z"))).alias("s"))
+    packed = packed.select("group", F.transform("s", lambda x: x["user"]).alias("users"), F.flatten(F.transform("s", lambda x: x["z"])).alias("z"))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for users, items in zip(frame["users"], frame["items"]):
-                ids = np.array([x["i"] for x in items])
-                codes = np.array([list(x["c"]) for x in items])
-                out = []
-                for u in users:
-                    total = np.zeros(len(ids))
-                    for level in range(levels):
-                        z = np.asarray(u["levels"][level], dtype=float)
-                        z = z - z.max()
-                        total += (z - np.log(np.exp(z).sum()))[codes[:, level]]
-                    top = np.lexsort((ids, -total))[:k]
-                    out.append(pd.DataFrame({"user": u["user"], "item_id": ids[top] + 1, "score": total[top]}))
-                yield pd.concat(out)
-
-    # each item block is sent to every group of users by an explicit key: groups times blocks rows, not users times items
-    pairs = packed.join(blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(63)))), "group").select("users", "items")
+            for users, z, ids, codes in frame.itertuples(index=False, name=None):
+                z = np.asarray(z, dtype=float).reshape(len(users), levels, -1)
+                z = z - z.max(axis=2, keepdims=True)
+                z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
+                codes = np.asarray(codes).reshape(len(ids), levels)
+                total = sum(z[:, level, codes[:, level]] for level in range(levels))
+                last = np.partition(total, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(users), -np.inf)
+                u, i = np.nonzero(total >= last[:, None])  # k a user, and what ties with the last
+                order = np.lexsort((i, -total[u, i], u))
+                u, i = u[order], i[order]
+                keep = np.arange(len(u)) - np.searchsorted(u, u) < k
+                u, i = u[keep], i[keep]
+                yield pd.DataFrame({"user": np.asarray(users)[u], "item_id": np.asarray(ids)[i] + 1, "score": total[u, i]})
+
+    # each block of items is sent to every block of users by an explicit key: rows by the blocks of both, not users times items
+    pairs = packed.join(blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "group").select("users", "z", "ids", "codes")
     scored = pairs.mapInPandas(best, "user long, item_id long, score double")
     return topk_from_scores(scored.withColumnRenamed("item_id", "item"), k).select("user", "rank", F.col("item").alias("item_id"), "score")
 
@@ -96,9 +101,13 @@ def diversity_at_n(candidates: DataFrame, categories: DataFrame, n: int = 10) ->
 
 
 def alpha_ndcg_at_k(candidates: DataFrame, truth: DataFrame, categories: DataFrame, k: int = 10, alpha: float = 0.5) -> DataFrame:
-    """user, alpha_ndcg: relevant items' gains fall by (1 - alpha) for each earlier one of their category; candidates without a category go first and ranks close up."""
-    first = candidates.where((F.col("rank") <= k) & (F.col("item_id") > 0)).join(categories, "item_id")
-    first = first.withColumn("r", F.row_number().over(W.partitionBy("user").orderBy("rank")))
+    """user, alpha_ndcg: relevant items' gains fall by (1 - alpha) for each earlier one of their category.
+
+    Of the first k candidates the invalid ones go and ranks close up; those without a category keep their rank and gain nothing.
+    The ideal counts the relevant items that have a category; users without one, or without a valid candidate, are left out.
+    """
+    first = candidates.where((F.col("rank") <= k) & (F.col("item_id") > 0))
+    first = first.withColumn("r", F.row_number().over(W.partitionBy("user").orderBy("rank"))).join(categories, "item_id", "left")
     relevant = truth.join(categories, "item_id").select("user", "item_id", "cate_id").distinct()
     hit = first.join(relevant.select("user", "item_id"), ["user", "item_id"], "left_semi")
     gain = lambda order: F.pow(F.lit(1 - alpha), F.row_number().over(order) - 1)
@@ -130,72 +139,89 @@ def aggregate_metrics(hits: DataFrame, **by_user: DataFrame) -> DataFrame:
     return out
 
 
-def mmr_order(score: np.ndarray, cate: np.ndarray, valid: np.ndarray, lam: float, top_k: int, div_power=1.5, div_scale=2.0, div_exp=1.0, rank_power=1.0, rank_scale=0.0, rel_power=1.0, rel_scale=0.0, rel_exp=1.0, pop_scale=0.0, pop_power=1.0, cap_lambda=0.0, max_per_cate=0, diverse_k=0, tie=0.0, rank_norm=False) -> list[int]:
-    """The greedy order of one beam: relevance against how often a candidate's category is taken already.
+def _ranks(values: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Row by row the values under the mask as evenly spaced ranks, the largest (the first of equals) 1 and the smallest 0; a single one is 1, others 0."""
+    order = np.argsort(np.where(mask, -values, np.inf), axis=1, kind="stable")
+    place = np.empty(values.shape)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(values.shape[1], dtype=float), values.shape), axis=1)
+    n = mask.sum(axis=1, keepdims=True)
+    return np.where(mask, np.where(n > 1, 1 - place / np.maximum(n - 1, 1), 1.0), 0.0)
+
+
+def mmr_orders(score: np.ndarray, cate: np.ndarray, valid: np.ndarray, there: np.ndarray, lam: np.ndarray, top_k: int, div_power=1.5, div_scale=2.0, div_exp=1.0, rank_power=1.0, rank_scale=0.0, rel_power=1.0, rel_scale=0.0, rel_exp=1.0, pop_scale=0.0, pop_power=1.0, cap_lambda=0.0, max_per_cate=0, diverse_k=0, tie=0.0, rank_norm=False) -> np.ndarray:
+    """The greedy orders of many beams, a row a beam: relevance against how often a candidate's category is taken already.
 
-    The last pick is repeated when candidates run out; ties go to the lower place.
+    there tells candidates from what fills up shorter beams. The last pick is repeated when candidates run out; ties go to the lower place.
     """
-    lam, n = min(max(lam, 0.0), 1.0), len(score)
-    rel = (score - score.min()) / (score.max() - score.min() + 1e-12)
-    place = np.empty(n)
-    place[np.argsort(-rel, kind="stable")] = np.arange(n)
-    rank_pen = (place + 1) / n
-    known = cate >= 0
-    _, group, sizes = np.unique(np.where(known & valid, cate, -1), return_inverse=True, return_counts=True)
-    pop = np.where(known & valid, sizes[group] / max(valid.sum(), 1), 0.0) ** pop_power * known
-    linear = lambda v: np.argsort(np.argsort(v, kind="stable"), kind="stable") / max(n - 1, 1)
+    lam = np.clip(lam, 0.0, 1.0)[:, None]
+    rows = np.arange(len(score))
+    low, high = np.where(there, score, np.inf).min(axis=1, keepdims=True), np.where(there, score, -np.inf).max(axis=1, keepdims=True)
+    rel = np.where(there, (score - low) / (high - low + 1e-12), 0.0)
+    place = np.empty(score.shape)
+    np.put_along_axis(place, np.argsort(np.where(there, -rel, np.inf), axis=1, kind="stable"), np.broadcast_to(np.arange(score.shape[1], dtype=float), score.shape), axis=1)
+    rank_pen = (place + 1) / np.maximum(there.sum(axis=1, keepdims=True), 1)
+    known = valid & (cate >= 0)
+    same = (cate[:, :, None] == cate[:, None, :]) & known[:, None, :]
+    pop = np.where(known, same.sum(axis=2) / np.maximum(known.sum(axis=1, keepdims=True), 1), 0.0) ** pop_power * known
     if rank_norm:
-        rel, rank_pen = linear(rel), linear(rank_pen)
-    taken: dict[int, int] = {}
-    open_, order = valid.copy(), []
+        rel, rank_pen = _ranks(rel, valid), _ranks(-rank_pen, valid)
+    weight = lambda power: (1 - lam) ** max(1e-8, power)
+    count, open_, picks = np.zeros(score.shape), valid.copy(), np.zeros((len(score), top_k), dtype=np.int64)
     for t in range(top_k):
-        if not open_.any():
-            order.append(order[-1] if order else 0)
+        some = open_.any(axis=1)
+        if not some.any():
+            picks[:, t] = picks[:, t - 1] if t else 0
             continue
-        count = np.array([taken.get(int(c), 0) for c in cate])
-        pen = np.where(count > 0, 1 - np.exp(-div_scale * count.astype(float) ** div_exp), 0.0) + pop_scale * pop
-        if rank_norm:
-            pen = linear(pen)
-        value = lam * rel - (1 - lam) ** div_power * pen - rank_scale * (1 - lam) ** rank_power * rank_pen - rel_scale * (1 - lam) ** rel_power * np.clip(rel, 0, 1) ** rel_exp + tie * rel
+        pen = np.where(count > 0, 1 - np.exp(-div_scale * count**div_exp), 0.0) + pop_scale * pop
         may = open_
-        if lam < cap_lambda and max_per_cate > 0 and (diverse_k <= 0 or t < diverse_k):
+        if max_per_cate > 0 and (diverse_k <= 0 or t < diverse_k):
             under = open_ & (count < max_per_cate)
-            may = under if under.any() else open_
-        pick = int(np.argmax(np.where(may, value, -np.inf)))
-        open_[pick] = False
-        order.append(pick)
-        if cate[pick] >= 0:
-            taken[int(cate[pick])] = taken.get(int(cate[pick]), 0) + 1
-    return order
+            may = np.where((lam < cap_lambda) & under.any(axis=1, keepdims=True), under, open_)
+        if rank_norm:
+            pen = _ranks(pen, may)
+        value = lam * rel - weight(div_power) * pen - rank_scale * weight(rank_power) * rank_pen - rel_scale * weight(rel_power) * np.clip(rel, 0, 1) ** rel_exp + tie * rel
+        pick = np.argmax(np.where(may, value, -np.inf), axis=1)
+        picks[:, t] = np.where(some, pick, picks[:, t - 1] if t else 0)
+        open_[rows[some], pick[some]] = False
+        count += (cate == cate[rows, pick][:, None]) & (cate >= 0) & some[:, None]
+    return picks
 
 
-def mmr_rerank(candidates: DataFrame, lam: float | None = None, top_k: int = 10, **options) -> DataFrame:
+def mmr_rerank(candidates: DataFrame, lam: float | list[float] | None = None, top_k: int = 10, **options) -> DataFrame:
     """user[, lam], rank (from 0), item_id, cate_id of the re-ranked beams; candidates have user, rank, item_id (-1: invalid), score, cate_id (-1: none), and lam if none is given.
 
-    A beam is one array in one row, so many users share an Arrow batch.
+    A beam is one array in one row, many of which are re-ranked at a time as one matrix; for a list of weights they are grouped once.
     """
-    by = ["user"] if lam is not None else ["user", "lam"]
+    by = ["user", "lam"] if lam is None else ["user"]
+    many = not isinstance(lam, (int, float))
     beams = candidates.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "score", "cate_id"))).alias("beam"))
-
-    def rerank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = {c: [] for c in (*by, "rank", "item_id", "cate_id")}
-            for row in frame.itertuples(index=False):
-                item, score, cate = (np.array([x[c] for x in row.beam]) for c in ("item_id", "score", "cate_id"))
-                picks = mmr_order(score.astype(float), cate, item > 0, lam if lam is not None else row.lam, top_k, **options)
-                for r, p in enumerate(picks):
-                    for c, v in zip(out, (*(getattr(row, b) for b in by), r, item[p], cate[p])):
-                        out[c].append(v)
-            yield pd.DataFrame(out)
-
-    kinds = {"user": "user long", "lam": "lam double"}
-    return beams.mapInPandas(rerank, ", ".join([*(kinds[b] for b in by), "rank long", "item_id long", "cate_id long"]))
+    fields = ("item_id", "score", "cate_id")
+    beams = beams.select(*by, *[F.col(f"beam.{f}").alias(f) for f in fields])
+    schema = pa.schema([("user", pa.int64())] + [("lam", pa.float64())] * many + [("rank", pa.int64()), ("item_id", pa.int64()), ("cate_id", pa.int64())])
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                n = batch.column("item_id").value_lengths().to_numpy(zero_copy_only=False)
+                there = np.arange(n.max()) < n[:, None]
+                item, score, cate = (np.zeros(there.shape, dtype=kind) for kind in (np.int64, float, np.int64))
+                for m, f in zip((item, score, cate), fields):
+                    m[there] = batch.column(f).flatten().to_numpy(zero_copy_only=False)
+                users = batch.column("user").to_numpy(zero_copy_only=False)
+                for x in lam if isinstance(lam, list) else [lam]:
+                    weights = batch.column("lam").to_numpy(zero_copy_only=False) if x is None else np.full(len(users), float(x))
+                    picks = mmr_orders(score, cate, there & (item > 0), there, weights, top_k, **options)
+                    out = [np.repeat(users, top_k)] + [np.repeat(weights, top_k)] * many + [np.tile(np.arange(top_k), len(users)), np.take_along_axis(item, picks, 1).ravel(), np.take_along_axis(cate, picks, 1).ravel()]
+                    yield pa.record_batch([pa.array(c) for c in out], schema=schema)
+
+    kinds = {pa.int64(): "long", pa.float64(): "double"}
+    return beams.mapInArrow(rerank, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
 
 
 def lambda_sweep(candidates: DataFrame, truth: DataFrame, lambdas: list[float], k: int = 10, **options) -> DataFrame:
     """lam, recall, diversity, pareto: accuracy and diversity for each weight; a point is kept if none is better in both."""
-    grid = candidates.select("*", F.explode(F.array(*[F.lit(float(x)) for x in lambdas])).alias("lam"))
-    ranked = mmr_rerank(grid, None, k, **options)
+    ranked = stage(mmr_rerank(candidates, [float(x) for x in lambdas], k, **options), "reranked")
     hit = ranked.join(truth.select("user", F.col("item_id").alias("true_id")), "user").groupBy("lam", "user").agg(F.max((F.col("item_id") == F.col("true_id")).cast("double")).alias("hit"))
     recall = hit.groupBy("lam").agg(F.avg("hit").alias("recall"))
     c = ranked.where("cate_id >= 0").groupBy("lam", "user", "cate_id").agg(F.count("*").alias("c")).groupBy("lam", "user").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).where("n > 1")

@@ -21,7 +21,7 @@ def clean_text(text: Column, entities: bool = True) -> Column:
     """HTML entities resolved, tags removed, white space runs as one space, no double quotes, trimmed; null is empty."""
     text = F.coalesce(text, F.lit(""))
     if entities:
-        text = _unescape(text)
+        text = F.coalesce(_unescape(F.when(text.contains("&"), text)), text)  # other texts have no entity and stay in the JVM
     text = F.regexp_replace(text, "<[^>]+>", "")
     text = F.regexp_replace(text, r"(?U)\s+", " ")
     return F.trim(F.regexp_replace(text, '"', ""))

@@ -197,9 +197,9 @@ def samples(spark, d):
     return I.sliding_window_samples(T.ordered(spark, d), 5)
 
 
-#: A sample in seven of those with histories of five; items from 1, item 0 dropped as the padding id.
+#: Every sample, with histories of five at most; items from 1, item 0 dropped as the padding id.
 _SAMPLES = dict(
-    s="""SELECT "user", pos, list_filter(h, lambda x: x <> 0) AS h, target FROM (SELECT "user", pos, item AS target, count(*) OVER (PARTITION BY "user") AS n, list(item) OVER (PARTITION BY "user" ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS h FROM ordered) WHERE pos >= 1 AND pos < n - 2 AND pos % 7 = 1""",
+    s="""SELECT "user", pos, list_filter(h, lambda x: x <> 0) AS h, target FROM (SELECT "user", pos, item AS target, count(*) OVER (PARTITION BY "user") AS n, list(item) OVER (PARTITION BY "user" ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS h FROM ordered) WHERE pos >= 1 AND pos < n - 2""",
     e="""SELECT "user", pos, unnest(range(1, len(h) + 1)) AS i, unnest(h) AS item FROM s""",
     f="""SELECT "user", pos, flatten(list(tokens ORDER BY i)) AS flat FROM e JOIN tokens ON e.item + 1 = tokens.item_id GROUP BY "user", pos""",
     g="""SELECT s."user", s.pos, coalesce(f.flat, []) AS flat, t.tokens AS goal, s.h, s.target FROM s LEFT JOIN f ON s."user" = f."user" AND s.pos = f.pos JOIN tokens t ON s.target + 1 = t.item_id""",

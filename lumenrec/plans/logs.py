@@ -207,6 +207,34 @@ def splits_roundtrip(spark, d):
 FROM (SELECT items, unnest(range(1, len(items))) AS n FROM seq)""")
 def sequence_parquet_samples(spark, d):
     path = new_path(spark, "sequences")
-    s = I.user_sequences(T.short_ordered(spark, d)).where(F.size("items") >= 3)
+    s = I.user_sequences(T.ordered(spark, d)).where(F.size("items") >= 3)
     writers.write_sequences(s.select(F.slice("items", F.lit(1), F.size("items") - 1).alias("history"), F.element_at("items", -1).alias("target")), path)
     return readers.read_sequence_parquet(spark, path, "train", 20).select(joined("history").alias("history"), "target")
+
+
+@query(cte("seq") + """SELECT array_to_string(CASE WHEN n >= 20 THEN list_slice(items, n - 19, n) ELSE list_concat(list_transform(range(0, 20 - n), lambda i: 0::BIGINT), list_slice(items, 1, n)) END, ',') AS history, items[n + 1] AS target
+FROM (SELECT items, len(items) - 1 AS n FROM seq)""")
+def sequence_parquet_evaluation(spark, d):
+    path = new_path(spark, "sequences")
+    s = I.user_sequences(T.ordered(spark, d)).where(F.size("items") >= 3)
+    writers.write_sequences(s.select(F.slice("items", F.lit(1), F.size("items") - 1).alias("history"), F.element_at("items", -1).alias("target")), path)
+    return readers.read_sequence_parquet(spark, path, "evaluation", 20).select(joined("history").alias("history"), "target")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS item, p_name AS title, 'about ' || p_name AS description, p_brand AS brand, p_type AS categories FROM part")
+def item_json_roundtrip(spark, d):
+    """Objects of at most 500 items, one a file."""
+    path = new_path(spark, "item-json")
+    p = T.table(spark, d, "part")
+    fields = F.struct(F.col("p_name").alias("title"), F.concat(F.lit("about "), "p_name").alias("description"), F.col("p_brand").alias("brand"), F.col("p_type").alias("categories"))
+    objects = p.groupBy(F.floor(F.col("p_partkey") / 500).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), fields))).alias("m"))
+    objects.select("block", F.to_json("m")).write.partitionBy("block").text(path)
+    return readers.read_item_json(spark, path)
+
+
+@query(cte("meta") + "SELECT item AS idx, title, brand, categories FROM meta")
+def item_features_roundtrip(spark, d):
+    path = new_path(spark, "features")
+    features = I.item_features(T.part_ids(spark, d), T.metadata(spark, d))
+    writers.write_item_features(features.select("idx", "title", "brand", "categories"), path)
+    return spark.read.schema("idx long, title string, brand string, categories string").json(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenrec.functions.staging import stage
 from lumenrec.operators import categories as C
 from lumenrec.operators import ranking as R
 
@@ -66,7 +67,7 @@ def initial_categories(spark, d):
 
 @query(cte("codes", **_CATE) + "SELECT k.item_id, k.category, ids.cate_id FROM k LEFT JOIN ids ON k.category = ids.category")
 def item_categories(spark, d):
-    items = categorized(spark, d)
+    items = stage(categorized(spark, d), "categorized")
     return items.join(C.category_ids(items), "category", "left").select("item_id", "category", "cate_id")
 
 
@@ -159,7 +160,7 @@ def diversity(spark, d):
 #: The ground truth for alpha-NDCG: each user's last three items.
 _ALPHA = dict(
     gt="""SELECT DISTINCT s."user", x.item_id, c.cate_id FROM (SELECT "user", unnest(items[len(items) - 2:]) + 1 AS item_id FROM seq) x JOIN splits s ON s."user" = x."user" JOIN cates c ON x.item_id = c.item_id""",
-    v="""SELECT cand."user", cand.item_id, cate_id, row_number() OVER (PARTITION BY cand."user" ORDER BY rank) AS r FROM cand JOIN cates ON cand.item_id = cates.item_id WHERE rank <= 10""",
+    v="""SELECT cand."user", cand.item_id, cate_id, row_number() OVER (PARTITION BY cand."user" ORDER BY rank) AS r FROM cand LEFT JOIN cates ON cand.item_id = cates.item_id WHERE rank <= 10""",
     h="""SELECT v."user", power(0.5, row_number() OVER (PARTITION BY v."user", v.cate_id ORDER BY r) - 1) / log2(r + 1) AS g FROM v JOIN gt ON v."user" = gt."user" AND v.item_id = gt.item_id""",
     i0="""SELECT *, power(0.5, row_number() OVER (PARTITION BY "user", cate_id ORDER BY item_id) - 1) AS g FROM gt""",
     i1="""SELECT "user", sum(g / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY g DESC, cate_id, item_id) AS r FROM i0) WHERE r <= 10 GROUP BY "user" """,
@@ -169,11 +170,14 @@ _ALPHA = dict(
 def last_three(spark, d):
     from lumenrec.operators.interactions import user_sequences
 
-    s = user_sequences(T.short_ordered(spark, d)).where(F.size("items") >= 3)
+    s = user_sequences(T.ordered(spark, d)).where(F.size("items") >= 3)
     return s.select("user", F.explode(F.slice("items", -3, 3)).alias("i")).select("user", (F.col("i") + 1).alias("item_id"))
 
 
-@query(cte("cand", "cates", **_ALPHA) + """SELECT i1."user", round(coalesce(x.g, 0) / idcg, 9) AS alpha_ndcg FROM i1 LEFT JOIN (SELECT "user", sum(g) AS g FROM h GROUP BY "user") x ON i1."user" = x."user" WHERE i1."user" IN (SELECT "user" FROM v)""")
+_ALPHA_BY_USER = """SELECT i1."user", round(coalesce(x.g, 0) / idcg, 9) AS alpha_ndcg FROM i1 LEFT JOIN (SELECT "user", sum(g) AS g FROM h GROUP BY "user") x ON i1."user" = x."user" WHERE i1."user" IN (SELECT "user" FROM v)"""
+
+
+@query(cte("cand", "cates", **_ALPHA) + _ALPHA_BY_USER)
 def alpha_ndcg(spark, d):
     return R.alpha_ndcg_at_k(T.candidates(spark, d), last_three(spark, d), known(spark, d)).withColumn("alpha_ndcg", F.round("alpha_ndcg", 9))
 
@@ -190,12 +194,15 @@ def scd(spark, d):
     return R.scd(T.candidates(spark, d), known(spark, d)).select("user", F.round("scd", 9).alias("scd"), F.round("weighted_scd", 9).alias("weighted_scd"))
 
 
-@query(cte("cand", "tokens", "cates", **_HITS, **_SCD, rn=_RN, dv=_DIV) + """SELECT 'recall@' || k AS metric, round(recall, 9) AS value, (SELECT count(*) FROM hits) AS users FROM rn UNION ALL SELECT 'ndcg@' || k, round(ndcg, 9), (SELECT count(*) FROM hits) FROM rn
-UNION ALL SELECT 'diversity', round(avg(diversity), 9), count(*) FROM dv UNION ALL SELECT 'scd', round(avg(scd), 9), count(*) FROM s UNION ALL SELECT 'weighted_scd', round(avg(weighted_scd), 9), count(*) FROM s""")
+@query(cte("cand", "tokens", "cates", **_HITS, **_SCD, **_ALPHA, rn=_RN, dv=_DIV, an=_ALPHA_BY_USER) + """SELECT 'recall@' || k AS metric, round(recall, 9) AS value, (SELECT count(*) FROM hits) AS users FROM rn UNION ALL SELECT 'ndcg@' || k, round(ndcg, 9), (SELECT count(*) FROM hits) FROM rn
+UNION ALL SELECT 'diversity', round(avg(diversity), 9), count(*) FROM dv UNION ALL SELECT 'scd', round(avg(scd), 9), count(*) FROM s UNION ALL SELECT 'weighted_scd', round(avg(weighted_scd), 9), count(*) FROM s UNION ALL SELECT 'alpha_ndcg', round(avg(alpha_ndcg), 9), count(*) FROM an""")
 def metric_summary(spark, d):
-    c, k = T.candidates(spark, d), known(spark, d)
-    s = R.scd(c, k)
-    return R.aggregate_metrics(hits(spark, d), diversity=R.diversity_at_n(c, k), scd=s, weighted_scd=s).withColumn("value", F.round("value", 9))
+    c, k, y = stage(T.candidates(spark, d), "candidates"), known(spark, d), T.truth(spark, d)
+    tokens = codes.tokens_of(spark, d)[0]
+    found = stage(R.match_hits(c.join(tokens, "item_id"), y.join(tokens, "item_id").select("user", F.col("tokens").alias("label"))), "hits")
+    s = stage(R.scd(c, k), "scd")
+    alpha = R.alpha_ndcg_at_k(c, last_three(spark, d), k)
+    return R.aggregate_metrics(found, diversity=R.diversity_at_n(c, k), scd=s, weighted_scd=s, alpha_ndcg=alpha).withColumn("value", F.round("value", 9))
 
 
 def rated(spark, d):

@@ -31,14 +31,8 @@ def ordered(spark: SparkSession, d: str) -> DataFrame:
     return I.in_order(I.first_interactions(interactions(spark, d)))
 
 
-def short_ordered(spark: SparkSession, d: str) -> DataFrame:
-    """The same with every tenth user thinned out."""
-    raw = raw_interactions(spark, d).where("user % 10 <> 0 OR line = 1").drop("line")
-    return I.in_order(I.first_interactions(raw))
-
-
 def splits(spark: SparkSession, d: str) -> DataFrame:
-    return I.leave_two_out(I.user_sequences(short_ordered(spark, d)))
+    return I.leave_two_out(I.user_sequences(ordered(spark, d)))
 
 
 def metadata(spark: SparkSession, d: str) -> DataFrame:
@@ -101,8 +95,7 @@ def _first(source: str) -> str:
 CTES = {
     "raw": RAW,
     "ordered": _first("raw"),
-    "short": _first("""(SELECT * FROM raw WHERE "user" % 10 <> 0 OR line = 1)"""),
-    "seq": """SELECT "user", list(item ORDER BY pos) AS items FROM short GROUP BY "user" HAVING count(*) >= 3""",
+    "seq": """SELECT "user", list(item ORDER BY pos) AS items FROM ordered GROUP BY "user" HAVING count(*) >= 3""",
     "splits": """SELECT "user", items[:len(items) - 2] AS train, items[len(items) - 1] AS valid, items[len(items)] AS test FROM seq""",
     "meta": """SELECT p_partkey AS item, p_name AS title, p_brand AS brand, p_type || ',' || replace(p_name, ' ', ',') AS categories FROM part WHERE p_size > 5""",
     "codes": """SELECT p_partkey AS item_id, [p_size % 4, CAST(replace(p_brand, 'Brand#', '') AS INT) % 4, CAST(p_partkey % 3 AS INT)] AS codes FROM part""",
@@ -112,7 +105,7 @@ CTES = {
     "cand": """SELECT t."user", r + 1 AS rank, CASE WHEN r = t."user" % 40 THEN t.item_id ELSE (7 * t."user" + 13 * r) % (SELECT count(*) FROM part) + 1 END AS item_id, 1.0::DOUBLE / (r + 1) AS score FROM truth t, range(0, 30) x(r)""",
     "cates": """SELECT p_partkey + 1 AS item_id, p_partkey % 11 AS cate_id FROM part WHERE p_partkey % 13 <> 0""",
 }
-_NEEDS = {"ordered": ["raw"], "short": ["raw"], "seq": ["short"], "splits": ["seq"], "digits": ["codes"], "tokens": ["digits"], "truth": ["splits"], "cand": ["truth"]}
+_NEEDS = {"ordered": ["raw"], "seq": ["ordered"], "splits": ["seq"], "digits": ["codes"], "tokens": ["digits"], "truth": ["splits"], "cand": ["truth"]}
 
 
 def cte(*names: str, **more: str) -> str:

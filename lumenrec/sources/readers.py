@@ -74,7 +74,7 @@ def _literal(lines: pd.Series) -> pd.DataFrame:
         try:
             d = ast.literal_eval(line)
             text = lambda k: None if d.get(k) is None else str(d[k])
-            return text("asin"), text("title"), text("description"), text("brand"), text("imUrl"), [str(x) for x in (d.get("categories") or [[]])[0]]
+            return text("asin"), text("title"), text("description"), text("brand"), text("imUrl"), [x.strip() for x in (d.get("categories") or [[]])[0] if "</span>" not in x]
         except (ValueError, SyntaxError, TypeError, AttributeError):
             return (None,) * 6
 
@@ -88,12 +88,14 @@ def read_amazon_metadata(spark: SparkSession, path: str, version: int = 18) -> D
         df = _in_line_order(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path))
         d = df.select(
             F.col("asin").alias("item"), "title", F.array_join("description", " ").alias("description"), "brand",
-            F.array_join(F.filter("category", lambda c: ~c.contains("</span>")), ",").alias("categories"), F.col("imageURLHighRes").alias("images"), F.lit(None).cast("string").alias("image"), "_file", "_line",
+            F.array_join(F.transform(F.filter("category", lambda c: ~c.contains("</span>")), lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), ",").alias("categories"), F.col("imageURLHighRes").alias("images"), F.lit(None).cast("string").alias("image"), "_file", "_line",
         )
     else:
         df = _in_line_order(spark.read.text(path)).withColumn("d", _literal("value"))
         d = df.select(F.col("d.asin").alias("item"), "d.title", "d.description", "d.brand", F.array_join("d.categories", ",").alias("categories"), F.lit(None).cast("array<string>").alias("images"), "d.image", "_file", "_line")
-    d = d.where("item IS NOT NULL").withColumns({"title": clean_text(F.col("title")), "description": clean_text(F.col("description")), "brand": F.trim(F.replace(F.coalesce("brand", F.lit("")), F.lit("by\n"), F.lit("")))})
+    # trimmed of any white space, as entries and brands are
+    trimmed = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    d = d.where("item <> ''").withColumns({"categories": trimmed(F.col("categories")), "title": clean_text(F.col("title")), "description": clean_text(F.col("description")), "brand": trimmed(F.replace("brand", F.lit("by\n"), F.lit("")))})
     return _last_of(d, "item")
 
 

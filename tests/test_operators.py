@@ -166,3 +166,143 @@ def test_item_scores_both_ways(spark):
     a, b = R.score_items_by_codes(logits, book, 3, block=4), R.score_items_relational(logits, book, 3)
     near = lambda df: [(u, i, round(s, 9)) for u, i, s in rows(df, "user", "item_id", "score")]
     assert near(a) == near(b)
+
+
+def test_alpha_ndcg_keeps_the_rank_of_candidates_without_category(spark):
+    cates = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "item_id long, cate_id long")
+    truth = spark.createDataFrame([(1, 1), (1, 2)], "user long, item_id long")
+    of = lambda items, k=10: R.alpha_ndcg_at_k(cand(spark, items).drop("cate_id"), truth, cates, k).collect()
+    ideal = 1 + 0.5 / np.log2(3)
+    assert of([50, 1, 3, 2])[0].alpha_ndcg == pytest.approx((1 / np.log2(3) + 0.5 / np.log2(5)) / ideal)
+    assert of([-1, 50, 1])[0].alpha_ndcg == pytest.approx(1 / np.log2(3) / ideal)
+    assert [r.alpha_ndcg for r in of([50, 51])] == [0.0] and of([-1, -1]) == []
+
+
+def plain_mmr(score, cate, valid, lam, top_k, div_power=1.5, div_scale=2.0, div_exp=1.0, rank_power=1.0, rank_scale=0.0, rel_power=1.0, rel_scale=0.0, rel_exp=1.0, pop_scale=0.0, pop_power=1.0, cap_lambda=0.0, max_per_cate=0, diverse_k=0, tie=0.0, rank_norm=False):
+    """The formula, number by number."""
+    n = len(score)
+    lo, hi = min(score), max(score)
+    rel = [(s - lo) / (hi - lo + 1e-12) for s in score]
+    by_rel = sorted(range(n), key=lambda i: (-rel[i], i))
+    rank_pen = [0.0] * n
+    for place, i in enumerate(by_rel):
+        rank_pen[i] = (place + 1) / n
+
+    def ranks(v, among, largest_first):
+        out = [0.0] * n
+        for place, i in enumerate(sorted(among, key=lambda i: (-v[i] if largest_first else v[i], i))):
+            out[i] = 1 - place / (len(among) - 1) if len(among) > 1 else 1.0
+        return out
+
+    open_ = [i for i in range(n) if valid[i]]
+    named = [i for i in open_ if cate[i] >= 0]
+    pop = [(sum(cate[j] == cate[i] for j in named) / len(named)) ** pop_power if i in named else 0.0 for i in range(n)]
+    if rank_norm:
+        rel, rank_pen = ranks(rel, open_, True), ranks(rank_pen, open_, False)
+    taken, out = {}, []
+    for t in range(top_k):
+        if not open_:
+            out.append(out[-1] if out else 0)
+            continue
+        pen = [(1 - np.exp(-div_scale * taken[c] ** div_exp) if taken.get(c) else 0.0) + pop_scale * pop[i] for i, c in enumerate(cate)]
+        may = open_
+        if lam < cap_lambda and max_per_cate > 0 and (diverse_k <= 0 or t < diverse_k):
+            may = [i for i in open_ if taken.get(cate[i], 0) < max_per_cate] or open_
+        if rank_norm:
+            pen = ranks(pen, may, True)
+        value = lambda i: lam * rel[i] - (1 - lam) ** div_power * pen[i] - rank_scale * (1 - lam) ** rank_power * rank_pen[i] - rel_scale * (1 - lam) ** rel_power * min(max(rel[i], 0), 1) ** rel_exp + tie * rel[i]
+        best = max(may, key=lambda i: (round(value(i), 9), -i))
+        open_ = [i for i in open_ if i != best]
+        out.append(best)
+        if cate[best] >= 0:
+            taken[cate[best]] = taken.get(cate[best], 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"pop_scale": 0.7, "pop_power": 0.5}, {"rank_norm": True}, {"rank_norm": True, "pop_scale": 0.5, "rank_scale": 0.6, "rel_scale": 0.3}, {"cap_lambda": 0.6, "max_per_cate": 1}, {"cap_lambda": 0.6, "max_per_cate": 2, "diverse_k": 3, "rank_norm": True}, {"rank_scale": 0.4, "rel_scale": 0.5, "rel_exp": 2.0, "tie": 1e-6}])
+def test_rerank_against_the_formula(options):
+    rng = np.random.default_rng(5)
+    b, n = 60, 12
+    there = np.arange(n) < rng.integers(1, n + 1, b)[:, None]
+    score, cate = rng.normal(size=(b, n)), rng.integers(-1, 4, (b, n))
+    valid = there & (rng.random((b, n)) < 0.8)
+    for lam in (0.0, 0.3, 0.5, 1.0):
+        got = R.mmr_orders(score, cate, valid, there, np.full(b, lam), 8, **options)
+        for i in range(b):
+            m = there[i].sum()
+            want = plain_mmr(score[i, :m].tolist(), cate[i, :m].tolist(), valid[i, :m].tolist(), lam, 8, **options)
+            if not (valid[i].any()):
+                want = [0] * 8
+            assert got[i].tolist() == want, (i, lam)
+
+
+def test_amazon_metadata_is_trimmed(spark):
+    import json
+
+    path, old = new_path(spark, "meta"), new_path(spark, "meta14")
+    lines = [{"asin": "a", "title": "T", "description": ["x", "y"], "brand": " by\n B ", "category": [" C ", "x</span>", "D\u00a0"]}, {"asin": "", "title": "gone"}, {"asin": "n", "title": "N"}]
+    spark.createDataFrame([(json.dumps(x),) for x in lines], "v string").write.text(path)
+    keys = ("item", "title", "description", "brand", "categories")
+    assert rows(readers.read_amazon_metadata(spark, path), *keys) == [("a", "T", "x y", "B", "C,D"), ("n", "N", "", "", "")]
+    spark.createDataFrame([(repr({"asin": "a", "title": "T", "categories": [[" C", "x</span>", "D "]]}),), (repr({"title": "gone"}),), ("{",)], "v string").write.text(old)
+    assert rows(readers.read_amazon_metadata(spark, old, 14), *keys) == [("a", "T", "", "", "C,D")]
+
+
+def test_genre_fallback(spark):
+    items = spark.createDataFrame([(0, "", [" Drama "], "b"), (1, "", ["  "], "b"), (2, "", [], "b")], "item_id long, p string, genres array<string>, brand string")
+    c = C.initial_category(C.strip_dominant_root(items.withColumn("tokens", C.category_tokens(F.col("p")))))
+    assert rows(c, "item_id", "category") == [(0, "Drama"), (1, "Brand: b"), (2, "Brand: b")]
+
+
+def test_lloyd_rounds_against_plain_numpy(spark):
+    """Two levels of two rounds from a fixed start, and one round of product codes."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 6))
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "item_id long, embedding array<double>").repartition(5)
+    start = np.stack([x[:4], x[4:8] * 0.5])
+    got = Q.fit_residual_kmeans(v, 2, 4, iterations=2, start=start)
+    left = x
+    for level in range(2):
+        now = start[level]
+        for _ in range(2):
+            near = ((left[:, None] - now) ** 2).sum(axis=2).argmin(axis=1)
+            now = np.stack([left[near == c].mean(axis=0) for c in range(4)])
+        assert np.allclose(got[level], now)
+        left = left - now[((left[:, None] - now) ** 2).sum(axis=2).argmin(axis=1)]
+    books = Q.fit_pq(v, 2, 4, iterations=3)
+    codes = {r.item_id: r.codes for r in Q.encode_pq(v, books).collect()}
+    near = np.stack([((x[:, None, 3 * m : 3 * m + 3] - books[m]) ** 2).sum(axis=2).argmin(axis=1) for m in range(2)], axis=1)
+    assert all(codes[i] == near[i].tolist() for i in range(200))
+    error = lambda r, b: sum((((x @ r)[:, None, 3 * m : 3 * m + 3] - b[m]) ** 2).sum(axis=2).min(axis=1).sum() for m in range(2))
+    assert error(*Q.fit_opq(v, 2, 4, rounds=2, iterations=3)) <= error(np.eye(6), books) * 1.05
+
+
+def test_embedding_tables(spark):
+    from lumenrec.operators import embeddings as E
+
+    texts = spark.createDataFrame([(0, " a  b "), (1, None), (2, "bad")], "item_id long, text string")
+
+    def encoder(batch):
+        if "bad" in batch:
+            raise ValueError
+        return np.array([[len(t), t == "N/A"] for t in batch])
+
+    assert rows(E.embed_batches(texts, 2, encoder, batch=1).where("item_id < 9"), "item_id", "embedding") == [(0, [3, 0]), (1, [3, 1]), (2, [0, 0])]
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 4)) @ rng.normal(size=(4, 4))
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "item_id long, embedding array<double>")
+    out, kept = E.standardize_pca(v, 2)
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    values, axes = np.linalg.eigh(z.T @ z)
+    got = np.array([r.embedding for r in out.orderBy("item_id").collect()])
+    assert kept == pytest.approx(values[-2:].sum() / values.sum()) and np.allclose(np.abs(got), np.abs(z @ axes[:, [-1, -2]]))
+    ragged = v.unionByName(spark.createDataFrame([(99, [1.0])], v.schema))
+    assert E.standardize_pca(ragged, 2)[0].count() == 51 and E.standardize_pca(v.limit(0), 2)[1] == 1.0
+    held = E.train_validation_split(v, 0.3)
+    assert held.where("is_validation").count() == sum(r.is_validation for r in E.train_validation_split(v.repartition(7), 0.3).collect()) > 0
+    # items of two kinds that never meet: neighbours are nearer than strangers
+    sequences = spark.createDataFrame([([int(k) for k in rng.permutation(6) + 6 * (u % 2)],) for u in range(400)], "items array<bigint>")
+    m = {r.item_id: np.array(r.embedding) for r in E.cf_item_vectors(sequences, dim=8, partition_users=150).collect()}
+    unit = np.stack([m[i] / np.linalg.norm(m[i]) for i in range(12)])
+    near = unit @ unit.T
+    assert len(m) == 12 and near[:6, :6].mean() > near[:6, 6:].mean()
