@@ -172,7 +172,8 @@ def components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFra
     now = scratch.stage(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")).toDF("node", "to"), "steps")
     while True:
         near = edges.join(now.toDF("v", "to"), "v").groupBy("u").agg(F.min("to").alias("near")).withColumnRenamed("u", "node")
-        new = now.join(near, "node").select("node", "to", F.least("to", "near").alias("new"))
+        # written before the jump: one label may have many nodes, and joins of plain tables can be split
+        new = scratch.stage(now.join(near, "node").select("node", "to", F.least("to", "near").alias("new")), "steps")
         jump = new.select(F.col("node").alias("new"), F.col("new").alias("far"))
         new = scratch.stage(new.join(jump, "new", "left").select("node", "to", F.least("new", F.coalesce("far", "new")).alias("new")), "steps")
         now = new.select("node", F.col("new").alias("to"))
