@@ -250,6 +250,9 @@ def test_ids_are_those_of_tokenizers():
     r = random.Random(1)
     texts = [t or "" for _, t, *_ in hard_rows() if not t or len(t) < 5000] + ["<|endoftext|> a<|endoftext|>", "it's I'LL 123abc  \n\n x　y​", "🏳️‍🌈 café é"]
     texts += ["".join(chr(r.choice([r.randint(32, 126), r.randint(160, 0x24F), r.randint(0x370, 0x5FF), r.randint(0x4E00, 0x9FFF), 32, 10])) for _ in range(60)) for _ in range(300)]
+    import pyarrow.parquet as pq
+
+    texts += [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
     for t in texts:
         assert encode(t, allowed_special="all") == reference.encode(t, add_special_tokens=False).ids, t
 
