@@ -24,9 +24,12 @@ def score_items_by_codes(logits: DataFrame, codebook: DataFrame, k: int, block:
     items = codebook.select(F.floor(F.col("item_id") / block).alias("block"), F.struct(F.col("item_id").alias("i"), F.col("codes").alias("c")).alias("s"))
     blocks = items.groupBy("block").agg(F.array_sort(F.collect_list("s")).alias("s")).select(F.transform("s", lambda x: x["i"]).alias("ids"), F.flatten(F.transform("s", lambda x: x["c"])).alias("codes"))
     users = logits.groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "logits"))), lambda x: x["logits"]).alias("levels"))
-    groups = max(1, -(-logits.select("user").distinct().count() // user_block))
+    users = stage(users, "user-levels")
+    groups = max(1, -(-users.count() // user_block))
+    # rows are few and the work on each is much: a number of tasks of its own keeps them from being put together
+    tasks = min(groups, 8 * int(logits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     users = users.withColumn("group", F.pmod(F.xxhash64("user"), F.lit(groups)).cast("int"))
-    packed = users.groupBy("group").agg(F.collect_list(F.struct("user", F.flatten("levels").alias("z"))).alias("s"))
+    packed = users.repartition(tasks, "group").groupBy("group").agg(F.collect_list(F.struct("user", F.flatten("levels").alias("z"))).alias("s"))
     packed = packed.select("group", F.transform("s", lambda x: x["user"]).alias("users"), F.flatten(F.transform("s", lambda x: x["z"])).alias("z"))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,7 +49,8 @@ def score_items_by_codes(logits: DataFrame, codebook: DataFrame, k: int, block:
                 yield pd.DataFrame({"user": np.asarray(users)[u], "item_id": np.asarray(ids)[i] + 1, "score": total[u, i]})
 
     # each block of items is sent to every block of users by an explicit key: rows by the blocks of both, not users times items
-    pairs = packed.join(blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "group").select("users", "z", "ids", "codes")
+    sent = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(tasks, "group")
+    pairs = packed.join(sent, "group").select("users", "z", "ids", "codes")
     scored = pairs.mapInPandas(best, "user long, item_id long, score double")
     return topk_from_scores(scored.withColumnRenamed("item_id", "item"), k).select("user", "rank", F.col("item").alias("item_id"), "score")
 
