@@ -98,7 +98,8 @@ def train_validation_split(vectors: DataFrame, share: float = 0.05, seed: int =
     """vectors with is_validation: by a hash of the id, so reruns and partitionings agree."""
     if share <= 0:
         return vectors.withColumn("is_validation", F.lit(False))
-    return vectors.withColumn("is_validation", F.pmod(F.xxhash64(F.lit(seed), "item_id"), F.lit(1_000_000)) < share * 1_000_000)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("item_id").cast("string")))
+    return vectors.withColumn("is_validation", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1_000_000 < share * 1_000_000)
 
 
 def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:

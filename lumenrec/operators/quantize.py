@@ -115,8 +115,8 @@ def fit_residual_kmeans(vectors: DataFrame, levels: int, k: int, iterations: int
     return np.concatenate(books)
 
 
-def fit_pq(vectors: DataFrame, parts: int, k: int, iterations: int = 5, sample: int = 256_000, seed: int = 42) -> np.ndarray:
-    """Centroids [part, code, dim / parts]: k-means in every sub-space, all in one pass an iteration; the training rows are a bounded sample."""
+def fit_pq(vectors: DataFrame, parts: int, k: int, iterations: int = 5, sample: int = 256_000, seed: int = 42, start: np.ndarray | None = None) -> np.ndarray:
+    """Centroids [part, code, dim / parts]: k-means in every sub-space, all in one pass an iteration; the training rows are a bounded sample; start gives first centroids."""
     k = 1 << max(0, int(np.ceil(np.log2(k))))
     if k > 65536:
         raise ValueError("at most 65536 codes")
@@ -125,7 +125,7 @@ def fit_pq(vectors: DataFrame, parts: int, k: int, iterations: int = 5, sample:
         raise ValueError("parts must divide the dimension")
     training = vectors.orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id").limit(sample) if vectors.count() > sample else vectors
     split = np.split(rows, parts, axis=1)
-    now = np.stack([_seeds(x, k, seed + m, False) for m, x in enumerate(split)])
+    now = start if start is not None else np.stack([_seeds(x, k, seed + m, False) for m, x in enumerate(split)])
     return _lloyd(training, np.zeros((0, 1, rows.shape[1])), now, False, iterations, split, seed, parts)
 
 

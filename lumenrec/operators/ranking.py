@@ -224,12 +224,12 @@ def mmr_rerank(candidates: DataFrame, lam: float | list[float] | None = None, to
 
 
 def lambda_sweep(candidates: DataFrame, truth: DataFrame, lambdas: list[float], k: int = 10, **options) -> DataFrame:
-    """lam, recall, diversity, pareto: accuracy and diversity for each weight; a point is kept if none is better in both."""
+    """lam, recall, diversity, pareto: accuracy and diversity for each weight; a point is kept if none is better in both, of equal points the one with the smallest weight."""
     ranked = stage(mmr_rerank(candidates, [float(x) for x in lambdas], k, **options), "reranked")
     hit = ranked.join(truth.select("user", F.col("item_id").alias("true_id")), "user").groupBy("lam", "user").agg(F.max((F.col("item_id") == F.col("true_id")).cast("double")).alias("hit"))
     recall = hit.groupBy("lam").agg(F.avg("hit").alias("recall"))
     c = ranked.where("cate_id >= 0").groupBy("lam", "user", "cate_id").agg(F.count("*").alias("c")).groupBy("lam", "user").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).where("n > 1")
     diversity = c.groupBy("lam").agg(F.avg((F.col("n") * F.col("n") - F.col("q")) / (F.col("n") * (F.col("n") - 1))).alias("diversity"))
     points = recall.join(diversity, "lam")
-    better = F.max("recall").over(W.orderBy(F.desc("diversity"), F.desc("recall")).rowsBetween(W.unboundedPreceding, -1))  # one row a weight
+    better = F.max("recall").over(W.orderBy(F.desc("diversity"), F.desc("recall"), "lam").rowsBetween(W.unboundedPreceding, -1))  # one row a weight
     return points.withColumn("pareto", F.coalesce(F.col("recall") > better, F.lit(True)))

@@ -83,7 +83,8 @@ def alignment_audit(rows: DataFrame) -> DataFrame:
 
 
 def alignment_sample(rows: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
-    return rows.orderBy(F.xxhash64(F.lit(seed), "item")).limit(n)
+    """The n rows with the smallest seeded digests of their item: the same for every partitioning."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("item").cast("string"))), "item").limit(n)
 
 
 def first_existing_image(manifest: DataFrame, listing: DataFrame) -> DataFrame:

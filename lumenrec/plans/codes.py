@@ -87,6 +87,45 @@ def quantization_loss(spark, d):
     return loss.select(*[F.round(c, 6).alias(c) for c in ("mse", "l1", "commitment")])
 
 
+def _lloyd_in_sql(v: str, start: str, out: str) -> dict[str, str]:
+    """Two rounds from the centroids in start, then the codes, as CTEs of which the last is named out."""
+    return {
+        f"{out}1": _NEAR.format(v=v, c=start), f"{out}c1": _MEAN.format(g="code", v=f"{out}1"),
+        f"{out}2": _NEAR.format(v=v, c=f"{out}c1"), f"{out}c2": _MEAN.format(g="code", v=f"{out}2"), out: _NEAR.format(v=v, c=f"{out}c2"),
+    }
+
+
+_VECTORS = dict(v="SELECT vec_id AS item_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings")
+
+
+@query(cte(
+    **_VECTORS, s0=_MEAN.format(g="label", v="v"), s1="SELECT code, list_transform(c, lambda x: x / 4) AS c FROM s0", **_lloyd_in_sql("v", "s0", "x"),
+    r="SELECT item_id, list_transform(range(1, 65), lambda i: e[i] - c[i]) AS e FROM x", **_lloyd_in_sql("r", "s1", "y"),
+) + "SELECT x.item_id, x.code || ',' || y.code AS codes FROM x JOIN y ON x.item_id = y.item_id")
+def rkmeans_from_start(spark, d):
+    """Two levels of two rounds each from the labels' mean vectors."""
+    v = T.vectors(spark, d)
+    means = _means(v, F.col("label"))
+    books = Q.fit_residual_kmeans(v, 2, len(means), iterations=2, start=np.stack([means, means / 4]))
+    return Q.encode_residual(v, books).select("item_id", joined("codes").alias("codes"))
+
+
+_PART_NEAR = "SELECT * FROM (SELECT item_id, w.part, e, b.code, row_number() OVER (PARTITION BY item_id, w.part ORDER BY list_distance(e, b.c), b.code) AS k FROM w JOIN {c} b ON b.part = w.part) WHERE k = 1"
+_PART_MEAN = "SELECT part, code, list(m ORDER BY dim) AS c FROM (SELECT part, code, dim, avg(x) AS m FROM (SELECT part, {g} AS code, unnest(range(1, 17)) AS dim, unnest(e) AS x FROM {v}) GROUP BY part, code, dim) GROUP BY part, code"
+
+
+@query(cte(
+    **_VECTORS, w="SELECT item_id, label, part, e[part * 16 + 1:part * 16 + 16] AS e FROM v, range(0, 4) p(part)", c0=_PART_MEAN.format(g="label", v="w"),
+    a1=_PART_NEAR.format(c="c0"), c1=_PART_MEAN.format(g="code", v="a1"), a2=_PART_NEAR.format(c="c1"), c2=_PART_MEAN.format(g="code", v="a2"), a=_PART_NEAR.format(c="c2"),
+) + "SELECT item_id, string_agg(CAST(code AS VARCHAR), ',' ORDER BY part) AS codes FROM a GROUP BY item_id")
+def pq_from_start(spark, d):
+    """Four parts, two rounds from the labels' mean vectors."""
+    v = T.vectors(spark, d)
+    means = _means(v, F.col("label"))
+    books = Q.fit_pq(v, 4, len(means), iterations=2, start=np.stack(np.split(means, 4, axis=1)))
+    return Q.encode_pq(v, books).select("item_id", joined("codes").alias("codes"))
+
+
 @query()
 def rkmeans_codes(spark, d):
     v = T.vectors(spark, d)

@@ -210,11 +210,38 @@ def rated(spark, d):
     return T.candidates(spark, d).join(known(spark, d), "item_id", "left").withColumn("cate_id", F.coalesce("cate_id", F.lit(-1).cast("long")))
 
 
-@query()
+def _picks_in_sql(lambdas: list[float], k: int = 10) -> dict[str, str]:
+    """CTEs of the greedy choice, slot by slot: beams with relevance, then for each user and weight the places chosen so far; picks has them as rows."""
+    free = "len(list_filter(s.cs, lambda c: c = b.cate_id AND c >= 0))"
+    value = f"lam * rel - power(1 - lam, 1.5) * CASE WHEN {free} > 0 THEN 1 - exp(-2.0::DOUBLE * {free}) ELSE 0 END"
+    steps = {
+        "b": """SELECT *, (score - min(score) OVER u) / (max(score) OVER u - min(score) OVER u + 1e-12::DOUBLE) AS rel FROM (
+  SELECT cand.*, coalesce(cates.cate_id, -1) AS cate_id FROM cand LEFT JOIN cates ON cand.item_id = cates.item_id) WINDOW u AS (PARTITION BY "user")""",
+        "s0": f"""SELECT DISTINCT "user", lam, []::BIGINT[] AS places, []::BIGINT[] AS cs FROM b, (VALUES {", ".join(f"({x}::DOUBLE)" for x in lambdas)}) l(lam)""",
+    }
+    for t in range(k):
+        steps[f"s{t + 1}"] = f"""SELECT "user", lam, list_append(places, place) AS places, list_append(cs, cate) AS cs FROM (
+  SELECT *, row_number() OVER (PARTITION BY "user", lam ORDER BY value DESC, place) AS n FROM (
+    SELECT s.*, b.rank AS place, b.cate_id AS cate, {value} AS value FROM s{t} s JOIN b ON s."user" = b."user" WHERE NOT list_contains(s.places, b.rank))) WHERE n = 1"""
+    steps["picks"] = f"""SELECT s."user", s.lam, i - 1 AS rank, b.item_id, b.cate_id FROM s{k} s, range(1, {k + 1}) x(i) JOIN b ON b."user" = s."user" AND b.rank = s.places[i]"""
+    return steps
+
+
+LAMBDAS = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+@query(cte("cand", "cates", **_picks_in_sql([0.5])) + 'SELECT "user", rank, item_id, cate_id FROM picks')
 def mmr_rerank(spark, d):
     return R.mmr_rerank(rated(spark, d), 0.5)
 
 
-@query()
+@query(cte(
+    "cand", "cates", **_picks_in_sql(LAMBDAS),
+    r="""SELECT lam, avg(hit) AS recall FROM (SELECT lam, p."user", max(CASE WHEN p.item_id = t.item_id THEN 1.0::DOUBLE ELSE 0 END) AS hit FROM picks p JOIN truth t ON p."user" = t."user" GROUP BY lam, p."user") GROUP BY lam""",
+    q="""SELECT lam, "user", sum(c) AS n, sum(c * c) AS q FROM (SELECT lam, "user", cate_id, count(*) AS c FROM picks WHERE cate_id >= 0 GROUP BY lam, "user", cate_id) GROUP BY lam, "user" HAVING sum(c) > 1""",
+    dv="SELECT lam, avg((n * n - q) / (n * (n - 1))::DOUBLE) AS diversity FROM q GROUP BY lam",
+    p="SELECT r.lam, recall, diversity FROM r JOIN dv ON r.lam = dv.lam",
+) + """SELECT lam, round(recall, 9) AS recall, round(diversity, 9) AS diversity, coalesce(recall > max(recall) OVER (ORDER BY diversity DESC, recall DESC, lam ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS pareto FROM p""")
 def lambda_sweep(spark, d):
-    return R.lambda_sweep(rated(spark, d), T.truth(spark, d), [0.0, 0.25, 0.5, 0.75, 1.0])
+    s = R.lambda_sweep(rated(spark, d), T.truth(spark, d), LAMBDAS)
+    return s.select("lam", F.round("recall", 9).alias("recall"), F.round("diversity", 9).alias("diversity"), "pareto")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumenrec.operators import embeddings as E
@@ -80,7 +81,7 @@ def alignment_audit(spark, d):
     return X.alignment_audit(alignment_rows(spark, d)).withColumn("coverage", F.round("coverage", 9))
 
 
-@query()
+@query(f"SELECT * FROM ({_ROWS}) ORDER BY md5('42|' || item), item LIMIT 5")
 def alignment_sample(spark, d):
     return X.alignment_sample(alignment_rows(spark, d))
 
@@ -96,6 +97,18 @@ def embed_documents(spark, d):
     return E.embed_batches(docs, 64).select("item_id", F.size("embedding").alias("dim"), F.round(E.l2_norm(F.col("embedding")), 5).alias("norm"))
 
 
+def letter_counts(texts):
+    """An encoder that SQL can follow: how often each letter from a to z stands in a text."""
+    return np.array([[t.count(chr(c)) for c in range(97, 123)] for t in texts])
+
+
+@query("SELECT doc_id AS item_id, array_to_string(list_transform(range(97, 123), lambda c: len(t) - len(replace(t, chr(CAST(c AS INT)), ''))), ',') AS letters FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def letter_vectors(spark, d):
+    docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    v = E.embed_batches(docs, 26, letter_counts)
+    return v.select("item_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("letters"))
+
+
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12))"
 
 
@@ -126,6 +139,6 @@ def cf_vectors(spark, d):
     return v.select("item_id", F.size("embedding").alias("dim"))
 
 
-@query()
+@query("SELECT vec_id AS item_id, CAST('0x' || substr(md5('42|' || vec_id), 1, 8) AS BIGINT) % 1000000 < 50000 AS is_validation FROM embeddings")
 def vector_split(spark, d):
     return E.train_validation_split(T.vectors(spark, d)).select("item_id", "is_validation")
