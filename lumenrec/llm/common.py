@@ -14,8 +14,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 400):
     """Jobs that run inside hand Python so many rows at a time: whole texts and sets are large rows."""

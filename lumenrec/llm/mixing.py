@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE, stage, text_or_empty, word_count
+from .common import SPACE, hidden, stage, text_or_empty, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -74,13 +74,16 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, in the columns of docs: a row as often as it is taken whole, and the row at a source's cut with its first words (joined by one space) alone."""
-    taken = mix(docs.withColumn("_row", F.struct(*docs.columns)), carry=("_row",), **options)
+    inner, columns = hidden(docs)
+    named = inner.select(*[F.col(columns[c]).alias(c) for c in ("doc_id", "source", "text")], F.struct(*inner.columns).alias("row"))
+    taken = mix(named, carry=("row",), **options)
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
-    rows = taken.where("size > 0 AND taken > 0").select("_row", "size", (F.col("taken") % F.col("size")).alias("rest"), whole.alias("whole"))
+    rows = taken.where("size > 0 AND taken > 0").select("row", "size", (F.col("taken") % F.col("size")).alias("rest"), whole.alias("whole"))
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("whole")), F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.select("_row", F.explode(copies).alias("cut"))
-    text = F.when(F.col("cut") > 0, first_words(F.col("_row.text"), F.col("cut"))).otherwise(F.col("_row.text"))
-    out = {c: F.col(f"_row.{c}") for c in docs.columns} | {"text": text}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("cut") > 0, F.length(text).cast("long")).otherwise(F.col("_row.n_chars"))
+    rows = rows.select("row", F.explode(copies).alias("cut"))
+    of = {name: F.col(f"row.{c}") for name, c in columns.items()}
+    text = F.when(F.col("cut") > 0, first_words(of["text"], F.col("cut"))).otherwise(of["text"])
+    out = of | {"text": text}
+    if "n_chars" in of:
+        out["n_chars"] = F.when(F.col("cut") > 0, F.length(text).cast("long")).otherwise(of["n_chars"])
     return rows.select(*[c.alias(n) for n, c in out.items()])

@@ -392,7 +392,7 @@ def test_tree_differences_locate_edits(spark):
     assert fingerprints.differences(of(lines), of(lines)).count() == 0
 
 
-CLASHING = ["starts", "_key", "_words", "_row", "_lines", "row", "words", "lines", "at", "gone", "host", "doc", "label", "node", "k0", "cut", "kept_text", "kept", "clean_text", "in0", "size", "key", "taken", "n_words", "part", "of"]
+CLASHING = ["starts", "_key", "_words", "_row", "_lines", "row", "words", "lines", "at", "gone", "host", "doc", "label", "node", "k0", "cut", "kept_text", "kept", "clean_text", "in0", "size", "key", "taken", "n_words", "part", "of", "a.b", "in3", "target", "source_size"]
 
 
 @pytest.mark.parametrize("table", ["hard", "clashing", "nulls", "empty"])
