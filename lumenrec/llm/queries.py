@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, licenses, minhash, mixing, packing, quality, sharding, substrings, warc
+from . import chat, fingerprints, licenses, minhash, mixing, packing, quality, repair, sharding, sql, substrings, warc
 from .common import new_path, read, text_or_empty
 
 QUERIES: dict = {}
@@ -84,6 +84,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+@query
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_report(turns, repair.damage(turns))
+
+
+ORACLES["op11_repair_conversations"] = sql.repair_oracle()
+
 ORACLES["op1_format_chats"] = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
