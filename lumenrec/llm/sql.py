@@ -62,3 +62,34 @@ SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0
   coalesce(z.cost, 0) AS cost, coalesce(z.audit, '') AS audit, sha256(coalesce(array_to_string(z.said, chr(10)), '')) AS repaired_sha256
 FROM ids LEFT JOIN s ON ids.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN g ON ids.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN z ON ids.conv_id IS NOT DISTINCT FROM z.conv_id AND z.best = 1
 """
+
+
+def manifest_oracle() -> str:
+    enc = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    sides = """string_agg(CASE WHEN s.i < m.i THEN s.h ELSE '' END, '' ORDER BY s.i) || '|' || string_agg(CASE WHEN s.i > m.i THEN s.h ELSE '' END, '' ORDER BY s.i)"""
+    rise = "sha256(string_agg(h, '' ORDER BY i))"
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+k AS (SELECT doc_id, source, {leaf("text")} AS leaf, text, lang, n_chars, CASE WHEN doc_id IS NOT NULL AND {crc32_of("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM documents, crc),
+d AS (SELECT row_number() OVER () AS r, doc_id, source, leaf, {leaf("tampered")} AS claim, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM k),
+up AS (
+  SELECT source, 0 AS level, i, leaf AS h, n FROM d
+  UNION ALL SELECT source, level + 1, i // 3, {rise}, (n + 2) // 3 FROM up WHERE n > 1 GROUP BY source, level, i // 3, n),
+sub AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, i, subroot AS h, n FROM sub
+  UNION ALL SELECT level + 1, i // 3, {rise}, (n + 2) // 3 FROM top WHERE n > 1 GROUP BY level, i // 3, n),
+low AS (
+  SELECT d.r, m.level, {sides} AS x FROM d JOIN up m ON m.source IS NOT DISTINCT FROM d.source AND m.n > 1 AND m.i = d.i // CAST(pow(3, m.level) AS BIGINT)
+  JOIN up s ON s.source IS NOT DISTINCT FROM m.source AND s.level = m.level AND s.i // 3 = m.i // 3 GROUP BY d.r, m.level),
+high AS (
+  SELECT sub.source, 1000 + m.level AS level, {sides} AS x FROM sub JOIN top m ON m.n > 1 AND m.i = sub.i // CAST(pow(3, m.level) AS BIGINT)
+  JOIN top s ON s.level = m.level AND s.i // 3 = m.i // 3 GROUP BY sub.source, m.level),
+p AS (SELECT r, list(x ORDER BY level) AS xs FROM (SELECT * FROM low UNION ALL SELECT d.r, high.level, high.x FROM d JOIN high ON high.source IS NOT DISTINCT FROM d.source) GROUP BY r),
+f AS (
+  SELECT d.*, sub.subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(replace(array_to_string(coalesce(xs, []), ''), '|', '')) AS proof_sha256,
+    list_reduce(coalesce(xs, []), lambda h, x: sha256(split_part(x, '|', 1) || h || split_part(x, '|', 2)), claim) AS folded_root
+  FROM d JOIN sub ON sub.source IS NOT DISTINCT FROM d.source LEFT JOIN p ON p.r = d.r)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
