@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, licenses, manifest, minhash, mixing, packing, quality, repair, sharding, sql, substrings, warc
+from . import chat, fingerprints, licenses, manifest, minhash, mixing, packing, quality, repair, scoring, sharding, sql, substrings, warc
 from .common import new_path, read, text_or_empty
 
 QUERIES: dict = {}
@@ -90,6 +90,11 @@ def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(turns, repair.damage(turns))
 
 
+@query
+def op12_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(read(spark, sf_dir, "documents"), claimed=manifest.without_newlines())
