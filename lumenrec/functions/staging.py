@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_collected: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _collected:
+        _collected[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +37,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def staged_tables(spark: SparkSession) -> Iterator[None]:
+    """Whatever is staged inside is deleted at the end: results are to be written or collected before.
+
+    with staged_tables(spark):
+        k_core(df).write.parquet(path)
+    """
+    _collected.append([])
+    try:
+        yield
+    finally:
+        for path in _collected.pop():
+            delete(spark, path)
+
+
 class Scratch:
     """The staged tables of one run of an operator, in a folder of their own; drop() deletes those that no later step reads."""
 
@@ -45,5 +72,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for path in [p for n in names for p in self._written.pop(n, [])]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, path)
+
+    def keep(self, *names: str) -> None:
+        """Drops all others."""
+        self.drop(*[n for n in self._written if n not in names])

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 
 from lumenrec.functions.staging import stage
 
+from .ranges import placed, with_previous
+
 HISTORY = 50
 
 
@@ -24,9 +26,12 @@ def first_interactions(df: DataFrame) -> DataFrame:
     return first.select("user", "item", F.col("f.rating").alias("rating"), F.col("f.ts").alias("ts"))
 
 
-def in_order(df: DataFrame) -> DataFrame:
-    """Adds pos, each user's place in time from 0."""
-    return df.withColumn("pos", F.row_number().over(W.partitionBy("user").orderBy("ts", "item")).cast("long") - 1)
+def in_order(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Adds pos (each row's place in its user's time from 0), n (the user's rows), and the range (part, here) that a row is in.
+
+    Rows are sorted in ranges by user and time (ranges.placed), so one user's rows may be many tasks; the sort is written once.
+    """
+    return placed(df, "user", "ts", "item", parts=parts).drop("line")
 
 
 def filter_by_metadata(df: DataFrame, items: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def with_dense_ids(df: DataFrame) -> DataFrame:
 
 
 def user_sequences(df: DataFrame) -> DataFrame:
-    """user, items (array in time order), from rows with pos."""
+    """user, items (array in time order), from rows with pos. A user's whole array is one value: what needs the end of a history alone takes last_items()."""
     seq = F.array_sort(F.collect_list(F.struct("pos", "item")))
     return df.groupBy("user").agg(F.transform(seq, lambda x: x["item"]).alias("items"))
 
@@ -90,23 +95,33 @@ def last_n(items: Column, n: int) -> Column:
 
 
 def sliding_window_samples(df: DataFrame, history: int = HISTORY) -> DataFrame:
-    """user, pos, history, target for every training position after the first, from rows with pos; long rows, so no user's list is built."""
-    by = W.partitionBy("user").orderBy("pos")
-    rows = df.withColumns({"n": F.count("*").over(W.partitionBy("user")), "history": F.collect_list("item").over(by.rowsBetween(-history, -1))})
+    """user, pos, history, target for every training position after the first, from rows of in_order(); a range of a user's rows takes what it needs from the ranges before."""
+    rows = with_previous(df, "user", "item", history, "history")
     return rows.where((F.col("pos") >= 1) & (F.col("pos") < F.col("n") - 2)).select("user", "pos", "history", F.col("item").alias("target"))
 
 
-def last_target_samples(splits: DataFrame, history: int = HISTORY) -> DataFrame:
-    """user, history, target: the last training item alone; a single one has an empty history."""
-    before = F.slice("train", F.lit(1), F.size("train") - 1)
-    return splits.select("user", last_n(before, history).alias("history"), F.element_at("train", -1).alias("target"))
+def last_items(df: DataFrame, m: int, users: int = 3) -> DataFrame:
+    """user, items: the last m items at most of users with so many rows at least, from rows of in_order(); only these rows are brought together."""
+    return user_sequences(df.where((F.col("n") >= users) & (F.col("pos") >= F.col("n") - m)))
+
+
+def last_target_samples(df: DataFrame, history: int = HISTORY) -> DataFrame:
+    """user, history, target: the last training item alone, from rows of in_order(); a single one has an empty history."""
+    s = last_items(df, history + 3)
+    return s.select("user", last_n(F.slice("items", F.lit(1), F.size("items") - 3), history).alias("history"), F.element_at("items", -3).alias("target"))
+
+
+def eval_samples(df: DataFrame, history: int = HISTORY) -> DataFrame:
+    """user, split (valid or test), history, target, from rows of in_order()."""
+    s = last_items(df, history + 2)
+    of = lambda name, less: F.struct(F.lit(name).alias("split"), last_n(F.slice("items", F.lit(1), F.size("items") - less), history).alias("history"), F.element_at("items", -less).alias("target"))
+    return s.select("user", F.inline(F.array(of("valid", 2), of("test", 1))))
 
 
-def eval_samples(splits: DataFrame, history: int = HISTORY) -> DataFrame:
-    """user, split (valid or test), history, target."""
-    both = F.concat("train", F.array("valid"))
-    valid = splits.select("user", F.lit("valid").alias("split"), last_n(F.col("train"), history).alias("history"), F.col("valid").alias("target"))
-    return valid.unionByName(splits.select("user", F.lit("test").alias("split"), last_n(both, history).alias("history"), F.col("test").alias("target")))
+def training_histories(df: DataFrame, history: int = HISTORY) -> DataFrame:
+    """user, history: the last training items, from rows of in_order()."""
+    s = last_items(df, history + 2)
+    return s.select("user", last_n(F.slice("items", F.lit(1), F.size("items") - 2), history).alias("history"))
 
 
 def pad_or_truncate(items: Column, n: int, pad: int = 0) -> Column:

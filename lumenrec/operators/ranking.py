@@ -13,46 +13,117 @@ from pyspark.sql import Window as W
 
 from lumenrec.functions.staging import stage
 
-
-def score_items_by_codes(logits: DataFrame, codebook: DataFrame, k: int, block: int = 4096, user_block: int = 512) -> DataFrame:
-    """user, rank, item_id (from 1), score: the k items with the largest sum over levels of the log-softmax at their codes.
-
-    Users and items are laid out in blocks of bounded size, however many there are. A block of users meets
-    a block of items as one matrix of scores and keeps its k best a user, so users times items are never rows.
+from .codetree import CodeTree, log_softmax, prefix_bounds
+
+
+def _tuples(codebook: DataFrame, k: int) -> DataFrame:
+    """codes, ids: the distinct code tuples, each with its k first items; of items with equal scores more are never asked for."""
+    first = codebook.select("item_id", "codes").withColumn("r", F.row_number().over(W.partitionBy("codes").orderBy("item_id"))).where(F.col("r") <= k)
+    return stage(first.groupBy("codes").agg(F.array_sort(F.collect_list("item_id")).alias("ids")), "code-tuples")
+
+
+def _blocks(tuples: DataFrame, block: int) -> tuple[DataFrame, np.ndarray]:
+    """prefix (its place in the second result), codes, many, ids: tuples that begin alike, by the fewest leading codes that leave at most so many together."""
+    levels = tuples.select(F.size("codes")).first()[0]
+    for depth in range(levels + 1):
+        start = F.slice("codes", F.lit(1), F.lit(depth))
+        sizes = tuples.groupBy(start.alias("start")).agg(F.count("*").alias("n"))
+        if depth == levels or sizes.agg(F.max("n")).first()[0] <= block:
+            break
+    starts = sorted(r["start"] for r in sizes.select("start").collect()) if depth else [[]]  # a prefix a block, not an item
+    rows = tuples.withColumn("prefix", F.lit(0).cast("long"))
+    if depth:
+        names = tuples.sparkSession.createDataFrame([(x, i) for i, x in enumerate(starts)], "start array<int>, prefix long")
+        rows = tuples.withColumn("start", start).join(F.broadcast(names), "start")
+    rows = rows.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("codes", "ids"))).alias("s"))
+    part = lambda c: F.transform("s", lambda x: x[c])
+    return rows.select("prefix", F.flatten(part("codes")).alias("codes"), F.transform(part("ids"), F.size).alias("many"), F.flatten(part("ids")).alias("ids")), np.array(starts, dtype=np.int64).reshape(len(starts), depth)
+
+
+def score_items_by_codes(logits: DataFrame, codebook: DataFrame, k: int, block: int = 1 << 16, task_users: int = 4096) -> DataFrame:
+    """user, rank, item_id (from 1), score: the k items with the largest sum over levels of the log-softmax at their codes; equal scores go by item.
+
+    Distinct code tuples form a prefix tree, cut by leading codes into blocks of bounded size. A user goes to the
+    blocks in the order of their bounds, first to one, then to twice as many and so on, until no bound reaches its
+    k-th score; in a block the tree is walked with bounds too (codetree). A block goes once to each task that has users for it.
     """
-    levels = codebook.select(F.size("codes")).first()[0]
-    items = codebook.select(F.floor(F.col("item_id") / block).alias("block"), F.struct(F.col("item_id").alias("i"), F.col("codes").alias("c")).alias("s"))
-    blocks = items.groupBy("block").agg(F.array_sort(F.collect_list("s")).alias("s")).select(F.transform("s", lambda x: x["i"]).alias("ids"), F.flatten(F.transform("s", lambda x: x["c"])).alias("codes"))
-    users = logits.groupBy("user").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "logits"))), lambda x: x["logits"]).alias("levels"))
-    users = stage(users, "user-levels")
-    groups = max(1, -(-users.count() // user_block))
-    # rows are few and the work on each is much: a number of tasks of its own keeps them from being put together
-    tasks = min(groups, 8 * int(logits.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    users = users.withColumn("group", F.pmod(F.xxhash64("user"), F.lit(groups)).cast("int"))
-    packed = users.repartition(tasks, "group").groupBy("group").agg(F.collect_list(F.struct("user", F.flatten("levels").alias("z"))).alias("s"))
-    packed = packed.select("group", F.transform("s", lambda x: x["user"]).alias("users"), F.flatten(F.transform("s", lambda x: x["z"])).alias("z"))
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for users, z, ids, codes in frame.itertuples(index=False, name=None):
-                z = np.asarray(z, dtype=float).reshape(len(users), levels, -1)
-                z = z - z.max(axis=2, keepdims=True)
-                z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-                codes = np.asarray(codes).reshape(len(ids), levels)
-                total = sum(z[:, level, codes[:, level]] for level in range(levels))
-                last = np.partition(total, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(users), -np.inf)
-                u, i = np.nonzero(total >= last[:, None])  # k a user, and what ties with the last
-                order = np.lexsort((i, -total[u, i], u))
-                u, i = u[order], i[order]
-                keep = np.arange(len(u)) - np.searchsorted(u, u) < k
-                u, i = u[keep], i[keep]
-                yield pd.DataFrame({"user": np.asarray(users)[u], "item_id": np.asarray(ids)[i] + 1, "score": total[u, i]})
-
-    # each block of items is sent to every block of users by an explicit key: rows by the blocks of both, not users times items
-    sent = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(tasks, "group")
-    pairs = packed.join(sent, "group").select("users", "z", "ids", "codes")
-    scored = pairs.mapInPandas(best, "user long, item_id long, score double")
-    return topk_from_scores(scored.withColumnRenamed("item_id", "item"), k).select("user", "rank", F.col("item").alias("item_id"), "score")
+    tuples = _tuples(codebook, k)
+    if tuples.isEmpty():
+        return logits.select("user", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("score")).limit(0)
+    levels = tuples.select(F.size("codes")).first()[0]
+    blocks, prefixes = _blocks(tuples, block)
+    blocks = stage(blocks, "code-blocks")
+    users = logits.groupBy("user").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("level", "logits"))), lambda x: x["logits"])).alias("z"))
+    users = users if len(prefixes) == 1 else stage(users, "user-levels")
+    found, seen = None, 0
+    while True:
+        visits = users.withColumn("prefix", F.lit(0).cast("long")) if len(prefixes) == 1 else stage(_visits(users, found, prefixes, levels, k, seen), "visits")
+        if seen and visits.isEmpty():
+            return found
+        scored = _best_of_blocks(visits, blocks, levels, k, task_users)
+        if len(prefixes) == 1:
+            return scored.select("user", "rank", "item_id", "score")
+        scored = scored.select("user", F.col("item_id").alias("item"), "score")
+        if found is not None:
+            scored = scored.unionByName(found.select("user", F.col("item_id").alias("item"), "score"))
+        found = stage(topk_from_scores(scored, k).select("user", "rank", F.col("item").alias("item_id"), "score"), "best-so-far")
+        seen = 2 * seen + 1
+
+
+def _visits(users: DataFrame, found: DataFrame | None, prefixes: np.ndarray, levels: int, k: int, seen: int) -> DataFrame:
+    """user, z, prefix: the next seen + 1 blocks after the first seen ones, in the order of a user's bounds, that may hold one of its k best."""
+    schema = pa.schema([("user", pa.int64()), ("z", pa.list_(pa.float64())), ("prefix", pa.int64())])
+    least = F.lit(float("-inf"))
+    if found is None:
+        rows = users.withColumn("least", least)
+    else:
+        rows = users.join(found.where(F.col("rank") == k).select("user", F.col("score").alias("least")), "user", "left").withColumn("least", F.coalesce("least", least))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                b = whole.slice(start, 256)
+                z = log_softmax(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, levels, -1))
+                bound = prefix_bounds(z, prefixes)
+                order = np.argsort(-bound, axis=1, kind="stable")[:, seen : 2 * seen + 1]
+                u, c = np.nonzero(np.take_along_axis(bound, order, 1) >= b.column(2).to_numpy(zero_copy_only=False)[:, None])
+                if len(u):
+                    yield pa.record_batch([b.column(0).take(pa.array(u)), b.column(1).take(pa.array(u)), pa.array(order[u, c])], schema=schema)
+
+    return rows.select("user", "z", "least").mapInArrow(run, "user long, z array<double>, prefix long")
+
+
+def _best_of_blocks(visits: DataFrame, blocks: DataFrame, levels: int, k: int, task_users: int) -> DataFrame:
+    """user, rank, item_id (from 1), score: each visit's k best items of its block."""
+    salts = visits.groupBy("prefix").agg(F.ceil(F.count("*") / task_users).cast("int").alias("salts"))  # a row a block
+    salts = stage(salts, "salts")
+    tasks = max(1, salts.agg(F.sum("salts")).first()[0] or 1)
+    none = lambda kind: F.lit(None).cast(kind)
+    told = blocks.join(F.broadcast(salts), "prefix").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    told = told.select("prefix", "salt", F.lit(0).alias("kind"), "codes", "many", "ids", none("long").alias("user"), none("array<double>").alias("z"))
+    asked = visits.join(F.broadcast(salts), "prefix").withColumn("salt", F.pmod(F.xxhash64("user"), F.col("salts")).cast("int"))
+    asked = asked.select("prefix", "salt", F.lit(1).alias("kind"), none("array<int>").alias("codes"), none("array<int>").alias("many"), none("array<long>").alias("ids"), "user", "z")
+    rows = told.unionByName(asked).repartition(tasks, "prefix", "salt").sortWithinPartitions("prefix", "salt", "kind")
+    schema = pa.schema([("user", pa.int64()), ("rank", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
+    numbers = lambda a: a.flatten().to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for b in batches:
+            kinds = b.column("kind").to_numpy(zero_copy_only=False)
+            bounds = [*np.flatnonzero(kinds == 0), len(kinds)]
+            for i, j in zip([-1, *bounds[:-1]], bounds):  # the users of a block follow it, in this batch or the next
+                if i >= 0:
+                    row = b.slice(i, 1)
+                    tree = CodeTree(numbers(row.column("codes")).reshape(-1, levels).astype(np.int64), np.append(0, np.cumsum(numbers(row.column("many")))), numbers(row.column("ids")))
+                part = b.slice(i + 1, j - i - 1)
+                for at in range(0, part.num_rows, 512):
+                    some = part.slice(at, 512)
+                    u, item, score = tree.best(log_softmax(numbers(some.column("z")).reshape(some.num_rows, levels, -1)), k)
+                    rank = np.arange(len(u)) - np.searchsorted(u, u) + 1
+                    yield pa.record_batch([some.column("user").take(pa.array(u)), pa.array(rank), pa.array(item + 1), pa.array(score)], schema=schema)
+
+    return rows.select("kind", "codes", "many", "ids", "user", "z").mapInArrow(run, "user long, rank long, item_id long, score double")
 
 
 def score_items_relational(logits: DataFrame, codebook: DataFrame, k: int) -> DataFrame:

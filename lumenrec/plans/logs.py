@@ -37,7 +37,7 @@ def distinct_interactions(spark, d):
 
 @query(cte("ordered") + """SELECT "user", item, rating, ts, pos FROM ordered""")
 def first_interactions(spark, d):
-    return T.ordered(spark, d)
+    return I.in_order(I.first_interactions(T.interactions(spark, d))).select("user", "item", "rating", "ts", "pos")
 
 
 @query(cte("raw", "meta") + """SELECT DISTINCT "user", item, rating, ts FROM raw WHERE item IN (SELECT item FROM meta)""")
@@ -95,18 +95,18 @@ def sliding_window_samples(spark, d):
 
 @query(cte("splits") + """SELECT "user", array_to_string(list_slice(train, greatest(len(train) - 50, 1), len(train) - 1), ',') AS history, train[len(train)] AS target FROM splits""")
 def last_target_samples(spark, d):
-    return I.last_target_samples(T.splits(spark, d)).select("user", joined("history").alias("history"), "target")
+    return I.last_target_samples(T.ordered(spark, d)).select("user", joined("history").alias("history"), "target")
 
 
 @query(cte("splits") + """SELECT "user", 'valid' AS split, array_to_string(list_slice(train, greatest(len(train) - 49, 1), len(train)), ',') AS history, valid AS target FROM splits
 UNION ALL SELECT "user", 'test', array_to_string(list_slice(list_append(train, valid), greatest(len(train) - 48, 1), len(train) + 1), ','), test FROM splits""")
 def eval_samples(spark, d):
-    return I.eval_samples(T.splits(spark, d)).select("user", "split", joined("history").alias("history"), "target")
+    return I.eval_samples(T.ordered(spark, d)).select("user", "split", joined("history").alias("history"), "target")
 
 
 @query(cte("splits") + """SELECT "user", array_to_string(CASE WHEN len(train) >= 20 THEN list_slice(train, len(train) - 19, len(train)) ELSE list_concat(list_transform(range(0, 20 - len(train)), lambda i: 0::BIGINT), train) END, ',') AS history FROM splits""")
 def padded_histories(spark, d):
-    return pad_histories(T.splits(spark, d).select("user", F.col("train").alias("history")), 20).select("user", joined("history").alias("history"))
+    return pad_histories(I.training_histories(T.ordered(spark, d), 20), 20).select("user", joined("history").alias("history"))
 
 
 @query(cte("raw", "meta") + """SELECT i.idx, m.item, m.title, m.brand, m.categories FROM (SELECT item, row_number() OVER (ORDER BY item) - 1 AS idx FROM (SELECT DISTINCT item FROM raw)) i JOIN meta m ON i.item = m.item""")
@@ -199,7 +199,7 @@ def id_map_roundtrip(spark, d):
 @query(cte("splits") + """SELECT "user", array_to_string(CASE WHEN len(train) >= 50 THEN list_slice(train, len(train) - 49, len(train)) ELSE list_concat(list_transform(range(0, 50 - len(train)), lambda i: 0::BIGINT), train) END, ',') AS history, valid AS target FROM splits""")
 def splits_roundtrip(spark, d):
     path = new_path(spark, "splits")
-    writers.write_splits(path, valid=I.eval_samples(T.splits(spark, d)).where("split = 'valid'"))
+    writers.write_splits(path, valid=I.eval_samples(T.ordered(spark, d)).where("split = 'valid'"))
     return readers.read_samples(spark, f"{path}/valid").select("user", joined("history").alias("history"), "target")
 
 

@@ -88,7 +88,7 @@ def categories_with_code_fallback(spark, d):
 
 
 def logits(spark, d):
-    c = T.splits(spark, d).select("user", F.explode(F.array(*map(F.lit, range(3)))).alias("level"))
+    c = T.truth(spark, d).select("user", F.explode(F.array(*map(F.lit, range(3)))).alias("level"))
     z = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.sin(F.col("user") * (F.col("level") + 1) + k))
     return c.select("user", "level", z.alias("logits"))
 
@@ -113,9 +113,15 @@ def topk_scores(spark, d):
     return R.topk_from_scores(scores, 10).select("user", "item", "score", "rank")
 
 
-def beams(spark, d):
+def beams(spark, d, true=None, tokens=None):
     """Candidates by their tokens."""
-    return T.candidates(spark, d).join(codes.tokens_of(spark, d)[0], "item_id")
+    return T.candidates(spark, d, true).join(codes.tokens_of(spark, d)[0] if tokens is None else tokens, "item_id")
+
+
+def labelled_beams(spark, d):
+    """Candidates by their tokens, and the tokens of each user's true item."""
+    true, tokens = T.truth(spark, d), codes.tokens_of(spark, d)[0]
+    return beams(spark, d, true, tokens), true.join(tokens, "item_id").select("user", F.col("tokens").alias("label"))
 
 
 @query(cte("cand", "tokens") + """SELECT c."user", c.rank, r.item_id FROM cand c JOIN tokens t ON c.item_id = t.item_id JOIN (SELECT tokens, max(item_id) AS item_id FROM tokens GROUP BY tokens) r ON t.tokens = r.tokens""")
@@ -131,14 +137,12 @@ _HITS = dict(hits="""SELECT c."user", min(CASE WHEN t.tokens = g.tokens THEN c.r
 
 @query(cte("cand", "tokens", **_HITS) + 'SELECT "user", hit_rank FROM hits')
 def hits(spark, d):
-    labels = T.truth(spark, d).join(codes.tokens_of(spark, d)[0], "item_id").select("user", F.col("tokens").alias("label"))
-    return R.match_hits(beams(spark, d), labels)
+    return R.match_hits(*labelled_beams(spark, d))
 
 
 @query(cte("cand", "tokens", rel="""SELECT c."user", min(CASE WHEN t.tokens[1:3] = g.tokens[1:3] AND t.tokens[4] >= g.tokens[4] THEN c.rank END) AS hit_rank FROM cand c JOIN tokens t ON c.item_id = t.item_id JOIN truth y ON c."user" = y."user" JOIN tokens g ON y.item_id = g.item_id GROUP BY c."user" """) + 'SELECT "user", hit_rank FROM rel')
 def relaxed_hits(spark, d):
-    labels = T.truth(spark, d).join(codes.tokens_of(spark, d)[0], "item_id").select("user", F.col("tokens").alias("label"))
-    return R.match_hits(beams(spark, d), labels, relaxed=True)
+    return R.match_hits(*labelled_beams(spark, d), relaxed=True)
 
 
 _RN = "SELECT k, avg(CASE WHEN hit_rank <= k THEN 1.0::DOUBLE ELSE 0 END) AS recall, avg(CASE WHEN hit_rank <= k THEN 1 / log2(hit_rank + 1) ELSE 0.0::DOUBLE END) AS ndcg FROM hits, (VALUES (5), (10)) v(k) GROUP BY k"
@@ -167,11 +171,9 @@ _ALPHA = dict(
 )
 
 
-def last_three(spark, d):
-    from lumenrec.operators.interactions import user_sequences
-
-    s = user_sequences(T.ordered(spark, d)).where(F.size("items") >= 3)
-    return s.select("user", F.explode(F.slice("items", -3, 3)).alias("i")).select("user", (F.col("i") + 1).alias("item_id"))
+def last_three(rows):
+    """user, item_id (from 1), of the last three rows of each user of ordered()."""
+    return rows.where("n >= 3 AND pos >= n - 3").select("user", (F.col("item") + 1).alias("item_id"))
 
 
 _ALPHA_BY_USER = """SELECT i1."user", round(coalesce(x.g, 0) / idcg, 9) AS alpha_ndcg FROM i1 LEFT JOIN (SELECT "user", sum(g) AS g FROM h GROUP BY "user") x ON i1."user" = x."user" WHERE i1."user" IN (SELECT "user" FROM v)"""
@@ -179,7 +181,8 @@ _ALPHA_BY_USER = """SELECT i1."user", round(coalesce(x.g, 0) / idcg, 9) AS alpha
 
 @query(cte("cand", "cates", **_ALPHA) + _ALPHA_BY_USER)
 def alpha_ndcg(spark, d):
-    return R.alpha_ndcg_at_k(T.candidates(spark, d), last_three(spark, d), known(spark, d)).withColumn("alpha_ndcg", F.round("alpha_ndcg", 9))
+    rows = T.ordered(spark, d)
+    return R.alpha_ndcg_at_k(T.candidates(spark, d, T.truth(spark, d, rows)), last_three(rows), known(spark, d)).withColumn("alpha_ndcg", F.round("alpha_ndcg", 9))
 
 
 _SCD = dict(
@@ -197,17 +200,19 @@ def scd(spark, d):
 @query(cte("cand", "tokens", "cates", **_HITS, **_SCD, **_ALPHA, rn=_RN, dv=_DIV, an=_ALPHA_BY_USER) + """SELECT 'recall@' || k AS metric, round(recall, 9) AS value, (SELECT count(*) FROM hits) AS users FROM rn UNION ALL SELECT 'ndcg@' || k, round(ndcg, 9), (SELECT count(*) FROM hits) FROM rn
 UNION ALL SELECT 'diversity', round(avg(diversity), 9), count(*) FROM dv UNION ALL SELECT 'scd', round(avg(scd), 9), count(*) FROM s UNION ALL SELECT 'weighted_scd', round(avg(weighted_scd), 9), count(*) FROM s UNION ALL SELECT 'alpha_ndcg', round(avg(alpha_ndcg), 9), count(*) FROM an""")
 def metric_summary(spark, d):
-    c, k, y = stage(T.candidates(spark, d), "candidates"), known(spark, d), T.truth(spark, d)
+    rows, k = T.ordered(spark, d), known(spark, d)
+    y = T.truth(spark, d, rows)
+    c = stage(T.candidates(spark, d, y), "candidates")
     tokens = codes.tokens_of(spark, d)[0]
     found = stage(R.match_hits(c.join(tokens, "item_id"), y.join(tokens, "item_id").select("user", F.col("tokens").alias("label"))), "hits")
     s = stage(R.scd(c, k), "scd")
-    alpha = R.alpha_ndcg_at_k(c, last_three(spark, d), k)
+    alpha = R.alpha_ndcg_at_k(c, last_three(rows), k)
     return R.aggregate_metrics(found, diversity=R.diversity_at_n(c, k), scd=s, weighted_scd=s, alpha_ndcg=alpha).withColumn("value", F.round("value", 9))
 
 
-def rated(spark, d):
+def rated(spark, d, true=None):
     """Candidates with categories; -1 where there is none."""
-    return T.candidates(spark, d).join(known(spark, d), "item_id", "left").withColumn("cate_id", F.coalesce("cate_id", F.lit(-1).cast("long")))
+    return T.candidates(spark, d, true).join(known(spark, d), "item_id", "left").withColumn("cate_id", F.coalesce("cate_id", F.lit(-1).cast("long")))
 
 
 def _picks_in_sql(lambdas: list[float], k: int = 10) -> dict[str, str]:
@@ -243,5 +248,6 @@ def mmr_rerank(spark, d):
     p="SELECT r.lam, recall, diversity FROM r JOIN dv ON r.lam = dv.lam",
 ) + """SELECT lam, round(recall, 9) AS recall, round(diversity, 9) AS diversity, coalesce(recall > max(recall) OVER (ORDER BY diversity DESC, recall DESC, lam ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS pareto FROM p""")
 def lambda_sweep(spark, d):
-    s = R.lambda_sweep(rated(spark, d), T.truth(spark, d), LAMBDAS)
+    true = T.truth(spark, d)
+    s = R.lambda_sweep(rated(spark, d, true), true, LAMBDAS)
     return s.select("lam", F.round("recall", 9).alias("recall"), F.round("diversity", 9).alias("diversity"), "pareto")

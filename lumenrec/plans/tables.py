@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenrec.functions.staging import stage
 from lumenrec.operators import interactions as I
 
 DAY = 86_400
@@ -27,8 +28,8 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered(spark: SparkSession, d: str) -> DataFrame:
-    """First interactions in each user's order."""
-    return I.in_order(I.first_interactions(interactions(spark, d)))
+    """First interactions in each user's order; staged."""
+    return stage(I.in_order(I.first_interactions(interactions(spark, d))).drop("rating", "ts"), "ordered")
 
 
 def splits(spark: SparkSession, d: str) -> DataFrame:
@@ -68,15 +69,16 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", "label")
 
 
-def truth(spark: SparkSession, d: str) -> DataFrame:
-    """user, item_id (from 1): each user's last item."""
-    return splits(spark, d).select("user", (F.col("test") + 1).alias("item_id"))
+def truth(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """user, item_id (from 1): each user's last item; rows: ordered(), if it is there already."""
+    rows = ordered(spark, d) if rows is None else rows
+    return rows.where("n >= 3 AND pos = n - 1").select("user", (F.col("item") + 1).alias("item_id"))
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
+def candidates(spark: SparkSession, d: str, true: DataFrame | None = None) -> DataFrame:
     """user, rank (from 1), item_id (from 1), score: 30 a user, the true one among them for three in four users."""
     n = table(spark, d, "part").agg(F.count("*").alias("n"))
-    t = truth(spark, d)
+    t = truth(spark, d) if true is None else true
     r = t.join(F.broadcast(n)).select("user", "item_id", "n", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("r"))
     made = (7 * F.col("user") + 13 * F.col("r")) % F.col("n") + 1
     item = F.when(F.col("r") == F.col("user") % 40, F.col("item_id")).otherwise(made)

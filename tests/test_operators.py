@@ -11,6 +11,7 @@ from lumenrec.operators import quantize as Q
 from lumenrec.operators import ranking as R
 from lumenrec.operators import text as X
 from lumenrec.operators import tokens as K
+from lumenrec.operators.codetree import log_softmax
 from lumenrec.sources import readers
 
 INTER = "user string, item string, rating double, ts long"
@@ -47,7 +48,32 @@ def test_splits_and_samples(spark):
     s = I.leave_two_out(I.user_sequences(o))
     assert rows(s, "user", "train", "valid", "test") == [("u", ["a", "b", "c"], "d", "e")]
     assert rows(I.sliding_window_samples(o), "history", "target") == [(["a"], "b"), (["a", "b"], "c")]
-    assert rows(I.eval_samples(s), "history", "target") == [(["a", "b", "c"], "d"), (["a", "b", "c", "d"], "e")]
+    assert rows(I.eval_samples(o), "history", "target") == [(["a", "b", "c"], "d"), (["a", "b", "c", "d"], "e")]
+
+
+def test_one_user_with_a_third_of_all_rows(spark):
+    """In ranges of any number: the same places, windows and splits as by plain lists; the hot user's rows are in many of them."""
+    r = np.random.default_rng(4)
+    data = [("hot", f"i{k:03d}", 1.0, int(t)) for k, t in enumerate(r.integers(0, 300, 400))]
+    data += [(None if u == 7 else f"u{u}", f"i{k}", 1.0, int(r.integers(0, 9))) for u in range(120) for k in range(r.integers(1, 12))]
+    df = spark.createDataFrame(data, INTER).repartition(5)
+    by = {}
+    for u, i, _, t in sorted(data, key=lambda x: x[2:] and (x[3], x[1])):
+        by.setdefault(u, []).append(i)
+    want = {(u, p, i, len(v)) for u, v in by.items() for p, i in enumerate(v)}
+    windows = {(u, p, tuple(v[max(0, p - 50) : p]), v[p]) for u, v in by.items() for p in range(1, len(v) - 2)}
+    evals = {(u, s, tuple(v[: len(v) - less][-50:]), v[-less]) for u, v in by.items() if len(v) >= 3 for s, less in (("valid", 2), ("test", 1))}
+    lasts = {(u, tuple(v[:-3][-50:]), v[-3]) for u, v in by.items() if len(v) >= 3}
+    for parts in (1, 3, 211):
+        o = I.in_order(df, parts).cache()
+        assert {(x.user, x.pos, x.item, x.n) for x in o.collect()} == want
+        assert {(x.user, x.pos, tuple(x.history), x.target) for x in I.sliding_window_samples(o).collect()} == windows
+        assert {(x.user, x.split, tuple(x.history), x.target) for x in I.eval_samples(o).collect()} == evals
+        assert {(x.user, tuple(x.history), x.target) for x in I.last_target_samples(o).collect()} == lasts
+        hot = o.where("user = 'hot'").groupBy("part").count().collect()
+        assert len(hot) >= {1: 1, 3: 2, 211: 50}[parts] and max(x["count"] for x in hot) <= {1: 400, 3: 399, 211: 30}[parts]
+        o.unpersist()
+    assert I.in_order(df.limit(0)).count() == 0
 
 
 def test_padding(spark):
@@ -168,6 +194,24 @@ def test_item_scores_both_ways(spark):
     assert near(a) == near(b)
 
 
+def test_item_scores_over_blocks_of_any_size(spark):
+    """One block, blocks by one and two leading codes, few users a task: the same items, ties by item."""
+    r = np.random.default_rng(3)
+    z, codes = np.round(r.normal(size=(60, 3, 6)), 1), r.integers(0, 6, (900, 3))
+    logits = spark.createDataFrame([(u, l, z[u, l].tolist()) for u in range(60) for l in range(3)], "user long, level int, logits array<double>")
+    book = spark.createDataFrame([(i, codes[i].tolist()) for i in range(900)], "item_id long, codes array<int>")
+    every = R.score_items_by_codes(logits, book, 7).collect()
+    want = []
+    for u in range(60):
+        s = sum(log_softmax(z[u])[l, codes[:, l]] for l in range(3))
+        want += [(u, n + 1, int(i) + 1, round(float(s[i]), 9)) for n, i in enumerate(np.lexsort((np.arange(900), -s))[:7])]
+    plain = lambda found: sorted((x.user, x["rank"], x.item_id, round(x.score, 9)) for x in found)
+    assert plain(every) == want
+    for block, users in ((40, 7), (8, 4096), (1, 20)):
+        assert plain(R.score_items_by_codes(logits, book, 7, block=block, task_users=users).collect()) == want
+    assert R.score_items_by_codes(logits, book.limit(0), 7).count() == 0 and R.score_items_by_codes(logits.limit(0), book, 7).count() == 0
+
+
 def test_alpha_ndcg_keeps_the_rank_of_candidates_without_category(spark):
     cates = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "item_id long, cate_id long")
     truth = spark.createDataFrame([(1, 1), (1, 2)], "user long, item_id long")
