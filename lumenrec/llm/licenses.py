@@ -13,7 +13,7 @@ Templates are a fixed parameter, so their index is the one small side that may b
 
 Defined cases: a null text is empty; an empty text has no words and no label; equal rows get equal
 results; a null doc_id is an id like others; an empty table gives an empty table; other columns are
-not read.
+not read. Very long texts are scanned whole; of templates that match equally well all labels stand, in order.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Defined cases: null or empty texts have no shingles and are linked with nothing;
 shingle are one shingle; rows that share a doc_id are one document, of which `keep_first` returns every
 distinct set once; rows without doc_id are told apart by their sets; in a component without any id
 component_id is null and the rows of one set, the first by hash, are kept; an empty table gives an
-empty table; columns beside doc_id and text are not read by `near_duplicates` and kept by `keep_first`.
+empty table; columns beside doc_id and text are not read by `near_duplicates` and kept by `keep_first`. Very long texts are
+shingled whole; ties of minima and of doc_ids can't change a result, as links are confirmed on full sets.
 """
 
 from __future__ import annotations

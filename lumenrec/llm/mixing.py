@@ -7,7 +7,8 @@ cut at exactly its budget: whole epochs, then the rows before the cut, then part
 
 Defined cases: a null text has no words and takes none; the null source is one source, last in order;
 rows that agree in doc_id and size are interchangeable; a null doc_id is keyed by its text; an empty
-table gives an empty table; other columns are not read. The number of sources must fit one task.
+table gives an empty table; other columns are not read; a very long text is one row that may be cut
+at a word; ties of the random key go by doc_id, then size. The number of sources must fit one task.
 """
 
 from __future__ import annotations
@@ -44,9 +45,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted), and the columns named in carry."""
+    """doc_id, size, source_size, target, taken (words, repeats counted), and the columns named in carry, whose names may be any but these."""
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), text_or_empty("text")))))
-    sized = stage(docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("size"), key.alias("key"), *carry), "sizes")
+    sized = stage(docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("size"), key.alias("key"), F.struct(F.lit(0), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried")), "sizes")
     ranges = max(1, -(-sized.count() // range_rows))
     # 32 leading bits of the key choose the range, in key order
     at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / (1 << 32)).cast("long")
@@ -63,7 +64,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     rows = sized.join(stage(starts, "range-starts"), ["of", "part"])
     rows = rows.withColumn("first", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("first")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *carry)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def first_words(text: Column, n: Column) -> Column:

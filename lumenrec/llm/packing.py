@@ -12,7 +12,8 @@ hold one against the other), several times as fast.
 
 Defined cases: a null or empty text is the single closing id; repeated rows are packed each for
 itself; a null doc_id is an id like others; an empty table gives an empty table; columns beside
-doc_id and text are not read.
+doc_id and text are not read by `pieces` and kept by `place`, whatever their names. A very long text is many
+pieces; pieces of equal length are ranked by doc_id and start, equal ones are interchangeable.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small_batches, stage
+from .common import hidden, small_batches, stage
 
 CAPACITY, UNIT, END = 1024, 8, 0
 #: The linear program ends where its bound proves it this close to the optimum.
@@ -164,13 +165,15 @@ def _best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, salt_rows: int = 20_000) -> DataFrame:
-    """The pieces, whatever columns they carry, with sequence_id and offset."""
+    """The pieces (doc_id, start, length and whatever else), with sequence_id and offset, which replace columns of these names."""
     spark = cut.sparkSession
+    inner, columns = hidden(cut.drop("sequence_id", "offset"))
+    doc_id, start, length = (F.col(columns[c]) for c in ("doc_id", "start", "length"))
     with small_batches(spark):
-        cut = stage(cut.withColumns({"_class": F.ceil(F.col("length") / unit).cast("int")}), "pieces")
+        inner = stage(inner.withColumn("_class", F.ceil(length / unit).cast("int")), "pieces")
     # ranks within a class: salted by hash, so that a hot length is many small sorts
-    salts = max(1, -(-cut.count() // salt_rows))
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
+    salts = max(1, -(-inner.count() // salt_rows))
+    salted = inner.withColumn("_salt", F.pmod(F.xxhash64(doc_id, start), F.lit(salts)).cast("int"))
     counts = stage(salted.groupBy("_class", "_salt").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["_class"]: r["n"] for r in counts.groupBy("_class").agg(F.sum("n").alias("n")).collect()}  # at most capacity / unit rows
     classes = sorted(histogram)
@@ -186,14 +189,14 @@ def place(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, salt_rows:
     places = spark.createDataFrame(rows, "_c int, _from long, _to long, _n long, _base long")  # bounded by the histogram, not by the input
     before = W.partitionBy("_class").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("_class", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
-    within = W.partitionBy("_class", "_salt").orderBy("doc_id", "start")
+    within = W.partitionBy("_class", "_salt").orderBy(doc_id, start)
     ranked = salted.join(starts, ["_class", "_salt"]).withColumn("_rank", F.col("_first") + F.row_number().over(within) - 1)
     placed = ranked.join(F.broadcast(places), (F.col("_class") == F.col("_c")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     at = F.col("_rank") - F.col("_from")
-    placed = placed.withColumns({"sequence_id": F.col("_base") + F.floor(at / F.col("_n")).cast("long"), "_slot": at % F.col("_n")})
-    before = W.partitionBy("sequence_id").orderBy("_class", "_slot").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return placed.select(*[c for c in cut.columns if c != "_class"], "sequence_id", "offset")
+    placed = placed.withColumns({"_sequence": F.col("_base") + F.floor(at / F.col("_n")).cast("long"), "_slot": at % F.col("_n")})
+    before = W.partitionBy("_sequence").orderBy("_class", "_slot").rowsBetween(W.unboundedPreceding, -1)
+    placed = placed.withColumn("_offset", F.coalesce(F.sum(length).over(before), F.lit(0)))
+    return placed.select(*[F.col(c).alias(name) for name, c in columns.items()], F.col("_sequence").alias("sequence_id"), F.col("_offset").alias("offset"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer=None) -> DataFrame:

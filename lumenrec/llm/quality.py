@@ -12,7 +12,8 @@ line of a text with many copies would be frequent and the text be lost with all
 Defined cases: a null text has no words; a null source is a host of its own; repeated rows are judged
 alike; an empty table gives an empty table; extra input columns are kept, whatever their names, unless
 they carry a name of the results, which then replace them. Lines and texts are told apart by 64 bits of
-hash.
+hash. Rules and lines are judged over whole texts, however long; a line that stands in exactly the limit's number of
+documents stays, and no result depends on the order of rows, so there are no other ties.
 """
 
 from __future__ import annotations

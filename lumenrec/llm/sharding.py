@@ -9,7 +9,8 @@ is largest, so one more shard takes rows only into itself.
 
 Defined cases: a null text has no bytes; rows with a null doc_id share a shard and scatter over its
 buckets by their text; rows equal in doc_id and text share a bucket and get slots of their own; an empty
-table gives an empty table; other columns are not read.
+table gives an empty table; other columns are not read. A very long text is one row like others;
+before the draws rows stand by hash, doc_id and text.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ less; full windows and equal texts are told by 128 bits.
 Defined cases: a null or empty text has no words; texts under 35 words lose nothing; a repeated row
 counts as another document; rows with null doc_id are told apart by their text; an empty table gives
 an empty table; columns beside doc_id and text are not read by `find` and kept by `cut`, whatever
-their names, unless they carry a name of its results, which then replace them.
+their names, unless they carry a name of its results, which then replace them. Very long texts are read whole, in batches
+of few rows; all copies of a window go, so that there is no tie to break.
 """
 
 from __future__ import annotations
@@ -134,8 +135,11 @@ def text_keys(text: str | Column) -> dict[str, Column]:
 def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """k0, k1, starts (array, in order) of the repeated windows, for texts that have any; k0 and k1 are the text's keys, [-1] stands for all windows."""
     scratch = Scratch(docs.sparkSession, "substrings")
-    with small_batches(docs.sparkSession):
-        return _find(docs.select("doc_id", "text"), length, scratch)
+    try:
+        with small_batches(docs.sparkSession):
+            return _find(docs.select("doc_id", "text"), length, scratch)
+    finally:
+        scratch.keep("found")
 
 
 def _find(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -145,7 +149,7 @@ def _find(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     copies = once.where("n > 1").select("k0", "k1", F.array(F.lit(-1)).alias("starts"))
     open_ = _open_anchors(texts.select(F.col("k0").alias("key"), "text"), length, scratch)
     if open_ is None:
-        return copies
+        return scratch.stage(copies, "found")
     # one document of each text that is still in question
     asked = once.join(open_.withColumnRenamed("key", "k0"), "k0").withColumnsRenamed({"k0": "a0", "k1": "a1"})
     held = texts.join(asked, (F.col("k0") == F.col("a0")) & (F.col("k1") == F.col("a1")) & F.col("doc_id").eqNullSafe(F.col("holder")))
@@ -154,9 +158,7 @@ def _find(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     windows = scratch.stage(_candidates(held, length), "windows")
     repeated = scratch.stage(windows.groupBy("h0", "h1").agg(F.sum("n").alias("n")).where("n > 1").select("h0", "h1"), "repeated-windows")
     found = windows.where("n = 1").join(repeated, ["h0", "h1"], "left_semi").groupBy("k0", "k1").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    found = scratch.stage(found.unionByName(copies), "found")
-    scratch.drop("texts", "open", "windows", "repeated-windows")
-    return found
+    return scratch.stage(found.unionByName(copies), "found")
 
 
 def _open_anchors(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame | None:

@@ -7,7 +7,8 @@ digest again.
 
 Defined cases: a null html is an empty payload; a null url is an empty one, line ends in it are
 percent-encoded; a null page_id counts as smallest; rows repeated with the response's page_id are all
-responses; an empty table gives an empty archive; other columns are not read.
+responses; an empty table gives an empty archive; other columns are not read. A very long
+payload is one record; of equal payloads with the same page_id none comes before the other.
 """
 
 from __future__ import annotations
