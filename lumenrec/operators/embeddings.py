@@ -51,9 +51,11 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x / n)
 
 
-def align_embeddings(ids: DataFrame, vectors: DataFrame, dim: int, unit: bool = False) -> DataFrame:
-    """One vector for every id: zeros where none is given, others dropped."""
-    rows = ids.select("item_id").join(vectors, "item_id", "left")
+def align_embeddings(ids: DataFrame, vectors: DataFrame, dim: int, unit: bool = False, order: str | None = None) -> DataFrame:
+    """One vector for every id: zeros where none is given, others dropped; of several the last by the column order, or the greatest, number by number."""
+    last = F.max_by("embedding", order) if order else F.max("embedding")
+    one = vectors.groupBy("item_id").agg(last.alias("embedding"))
+    rows = ids.select("item_id").distinct().join(one, "item_id", "left")
     rows = rows.withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dim)))
     return rows.withColumn("embedding", normalized(F.col("embedding"))) if unit else rows
 

@@ -126,8 +126,12 @@ def ratings_csv_roundtrip(spark, d):
 
 @query(ORACLES["ratings_csv_roundtrip"])
 def recbole_inter_roundtrip(spark, d):
+    """Below a header of any wording, with tabs and blanks around some lines."""
     path = new_path(spark, "inter")
-    T.interactions(spark, d).select("user", "item", "rating", F.col("ts").cast("double")).toDF("user_id:token", "item_id:token", "rating:float", "timestamp:float").write.option("sep", "\t").option("header", True).csv(path)
+    r = T.interactions(spark, d)
+    around = lambda n, m: F.when(F.col("item") % n == m, F.lit("\t")).when(F.col("item") % n == m + 1, F.lit(" ")).otherwise("")
+    line = F.concat(around(3, 0), F.concat_ws("\t", "user", "item", "rating", F.col("ts").cast("double")), around(5, 1))
+    r.select(line.alias("user:token\titem:token\trating:float\ttimestamp:float")).write.option("header", True).option("sep", "\x01").option("quote", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return readers.read_recbole_inter(spark, path)
 
 

@@ -50,6 +50,16 @@ def item_text(spark, d):
     return X.build_item_text(T.part_ids(spark, d), T.metadata(spark, d), ["title", "brand", "categories"])
 
 
+@query(r"""SELECT p_partkey AS item, p_partkey AS idx, coalesce(p_name || ' & Co ' || p_type || ' & more, ' || p_brand || ', ©é ' || p_size || '<', 'N/A') AS text FROM part""")
+def item_text_lists(spark, d):
+    """Entities and tags in plain fields and in the entries of a list."""
+    p = T.table(spark, d, "part")
+    name = F.concat("p_name", F.lit(" &amp; <i>Co</i>"))
+    entries = F.array(F.concat("p_type", F.lit(" &#38; more")), F.lit(" "), F.concat(F.lit("<b>"), "p_brand", F.lit("</b>")), F.concat(F.lit("&copy&eacute; "), F.col("p_size").cast("string"), F.lit("&#x3c;")))
+    meta = p.select(F.col("p_partkey").alias("item"), name.alias("title"), entries.alias("categories"))
+    return X.build_item_text(T.part_ids(spark, d), meta, ["title", "categories"])
+
+
 @query("""SELECT page_id AS item, CASE WHEN url LIKE 'http%' THEN 1 ELSE 0 END::BIGINT AS n, CASE WHEN url LIKE 'http%' THEN right(regexp_extract(url, '([^/]*)$', 1), 200) ELSE '' END AS files FROM pages""")
 def image_urls(spark, d):
     p = T.table(spark, d, "pages").select(F.col("page_id").alias("item"), F.lit(None).cast("array<string>").alias("images"), F.col("url").alias("image"))
@@ -115,8 +125,11 @@ _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(
 @query(f"""SELECT p_partkey AS item_id, CAST(len(embedding) AS INT) AS dim, round(list_sum({_UNIT}), 6) AS total FROM (
   SELECT p_partkey, coalesce(embedding, list_transform(range(0, 64), lambda i: 0::FLOAT)) AS embedding FROM part LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 9 <> 0) ON p_partkey = vec_id)""")
 def align_embeddings(spark, d):
+    """Every third id has a second vector, which an earlier place keeps from counting."""
     ids = T.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"))
-    v = E.align_embeddings(ids, T.vectors(spark, d).drop("label").where("item_id % 9 <> 0"), 64, unit=True)
+    v = T.vectors(spark, d).drop("label").where("item_id % 9 <> 0").withColumn("place", F.lit(1))
+    more = v.where("item_id % 3 = 0").select("item_id", F.reverse("embedding").alias("embedding"), F.lit(0).alias("place"))
+    v = E.align_embeddings(ids, v.unionByName(more), 64, unit=True, order="place")
     return v.select("item_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 

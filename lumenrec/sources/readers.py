@@ -27,8 +27,11 @@ def read_ratings_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_recbole_inter(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated user, item, rating, timestamp below a header; timestamps are truncated."""
-    f = spark.read.text(path).where(~F.col("value").rlike(r"^[^\t]*:token\t")).select(F.split(F.trim("value"), "\t", -1).alias("f")).where(F.size("f") == 4)
+    """Tab-separated user, item, rating, timestamp below each file's first line, whatever it says; white space around a line goes, timestamps are truncated."""
+    # the CSV source drops the first line of every file; no line holds the separator that it is given
+    lines = spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "").option("escape", "").csv(path)
+    stripped = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
+    f = lines.select(F.split(stripped, "\t", -1).alias("f")).where(F.size("f") == 4)
     rows = f.select(_field(0).alias("user"), _field(1).alias("item"), _field(2).try_cast("double").alias("rating"), _field(3).try_cast("double").cast("long").alias("ts"))
     return rows.where("rating IS NOT NULL AND ts IS NOT NULL")
 

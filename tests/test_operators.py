@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenrec.functions.staging import new_path
 from lumenrec.operators import categories as C
+from lumenrec.operators import embeddings as E
 from lumenrec.operators import interactions as I
 from lumenrec.operators import quantize as Q
 from lumenrec.operators import ranking as R
@@ -82,6 +83,40 @@ def test_padding(spark):
     assert df.select(I.pad_or_truncate(F.col("h"), 2)).first()[0] == [2, 3]
 
 
+def test_entities_read_as_html_does(spark):
+    """Every name, with and without what follows it, low and extreme numbers, and what only resembles an entity."""
+    import html
+    import random
+    from html.entities import html5
+
+    r = random.Random(1)
+    cases = [f"x&{n}y" for n in html5] + [f"a &{n} b" for n in sorted(html5)[::7]]
+    cases += [f"&#{n};" for n in [*range(300), 0x7FF, 0x800, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFE, 0x1F600, 0x10FFFF, 0x110000, 10**12, 10**30]]
+    cases += [f"&#x{n:x}" for n in (0, 9, 13, 65, 128, 150, 0x2603, 0x1F600, 0x110000, 2**70)] + ["&", "&&", "& amp;", "&;", "&#;", "&#x;", "&#00065;", "&notit;", "&ampamp;", "&amp;lt;", "a&b&c", "&" + "q" * 40 + ";", "&&amp;&", "&\tamp;", ""]
+    cases += ["".join(r.choice(["&", "amp", "lt;", "#", "x", "3", "9", ";", " ", "not", "in", "é", "😀", "\n"]) for _ in range(r.randint(1, 12))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, c string")
+    out = df.select("i", X.unescape(F.col("c")).alias("one"), F.transform(F.array("c", F.lit("&lt;"), F.lit(None)), X.unescape).alias("many"))
+    assert "Python" not in out._jdf.queryExecution().toString()
+    for x in out.collect():
+        want = html.unescape(cases[x.i])
+        assert x.one == want and x.many == [want, "<", None], cases[x.i]
+
+
+def test_one_vector_an_id(spark):
+    v = spark.createDataFrame([(0, [1.0, 9.0], 2), (0, [5.0, 0.0], 1), (3, [2.0, 2.0], 1)], "item_id long, embedding array<float>, at int")
+    ids = spark.createDataFrame([(0,), (1,), (0,)], "item_id long")
+    assert rows(E.align_embeddings(ids, v, 2, order="at"), "item_id", "embedding") == [(0, [1.0, 9.0]), (1, [0.0, 0.0])]
+    assert rows(E.align_embeddings(ids, v, 2), "item_id", "embedding") == [(0, [5.0, 0.0]), (1, [0.0, 0.0])]
+
+
+def test_interaction_lines_as_they_come(spark, tmp_path):
+    """The first line of each file is its header whatever it says; white space around a line goes."""
+    for name, text in (("a", "any words\n\tu2\ti2\t3\t5\t\n u1\ti1\t2.5\t7.9 \nx:token\ti1\t1\t1\nu\ti\t1\n"), ("b", "u9\ti9\t1\t1\nu3\ti\"3\t1\t\t\nu3\ti\"3\t1\t2\n")):
+        (tmp_path / name).write_text(text)
+    got = readers.read_recbole_inter(spark, str(tmp_path))
+    assert rows(got, "user", "item", "rating", "ts") == [("u1", "i1", 2.5, 7), ("u2", "i2", 3.0, 5), ("u3", 'i"3', 1.0, 2), ("x:token", "i1", 1.0, 1)]
+
+
 @pytest.mark.parametrize("raw, clean", [('<b>A &amp; B</b>\r\n  "x"', "A & B x"), ("&lt;i&gt;t&lt;/i&gt;", "t"), (None, ""), ("", "")])
 def test_clean_text(spark, raw, clean):
     assert spark.createDataFrame([(raw,)], "t string").select(X.clean_text(F.col("t"))).first()[0] == clean
