@@ -6,10 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenrec.functions.staging import stage
+
+from .linear import mapped, moments, principal_components, symmetric_factors
+from .ranges import with_previous
+
 MISSING = "N/A"
 
 
@@ -61,18 +65,18 @@ def align_embeddings(ids: DataFrame, vectors: DataFrame, dim: int, unit: bool =
 
 
 def standardize_pca(vectors: DataFrame, pca_dim: int) -> tuple[DataFrame, float]:
-    """(item_id, embedding) in pca_dim dimensions after z-scores, and the variance kept; the input where pca_dim isn't between 0 and its width, or where the fit fails (vectors of several widths, none at all)."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """(item_id, embedding) in pca_dim dimensions after z-scores, and the variance kept; the input where pca_dim isn't between 0 and its width, or where there is nothing to fit (vectors of several widths, fewer than two).
 
+    Moments are sums over all rows in one pass; a constant dimension stays zero; each component's largest loading is above zero.
+    """
     widths = [r[0] for r in vectors.select(F.size("embedding")).distinct().limit(2).collect()]
     if len(widths) != 1 or not 0 < pca_dim < widths[0] or vectors.limit(2).count() < 2:
         return vectors, 1.0
-    rows = vectors.select("item_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    scaled = StandardScaler(withMean=True, withStd=True, inputCol="v", outputCol="z").fit(rows).transform(rows)
-    model = PCA(k=pca_dim, inputCol="z", outputCol="p").fit(scaled)
-    out = model.transform(scaled).select("item_id", vector_to_array("p").alias("embedding"))
-    return out, float(sum(model.explainedVariance.toArray()))
+    mean, covariance, _ = moments(vectors, np.array(vectors.select("embedding").first()[0], dtype=float))
+    std = np.sqrt(np.maximum(np.diag(covariance), 0))
+    scale = np.where(std > 1e-12, std, 1.0)
+    components, kept = principal_components(covariance / np.outer(scale, scale), pca_dim)
+    return mapped(vectors, lambda x: (x - mean) / scale @ components), kept
 
 
 def fuse_modalities(text: DataFrame, image: DataFrame, text_weight: float = 0.5, image_weight: float = 0.5, concat: bool = False) -> DataFrame:
@@ -84,16 +88,30 @@ def fuse_modalities(text: DataFrame, image: DataFrame, text_weight: float = 0.5,
     return rows.select("item_id", F.when(F.col("t").isNull() | F.col("i").isNull(), missing).otherwise(fused).alias("embedding"))
 
 
-def cf_item_vectors(sequences: DataFrame, dim: int = 32, seed: int = 42, window: int = 5, partition_users: int = 5000) -> DataFrame:
-    """item_id, embedding: items as words of users' sequences. The item vectors, not the users, must fit the driver and each task."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+def item_cooccurrence(rows: DataFrame, window: int = 5) -> DataFrame:
+    """item_id, other, n: how often two different items stand at most window places apart in a user's order, in both directions, from rows of interactions.in_order()."""
+    near = with_previous(rows, "user", "item", window, "near").select("item", F.explode("near").alias("other")).where("item <> other")
+    counts = near.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return counts.select(F.inline(F.array(F.struct(F.col("a").alias("item_id"), F.col("b").alias("other"), "n"), F.struct(F.col("b").alias("item_id"), F.col("a").alias("other"), "n"))))
+
 
-    words = sequences.select(F.transform("items", lambda x: x.cast("string")).alias("words"))
-    # every pass trains the partitions side by side and averages them, so there is one for so many users and one more pass for every doubling
-    parts = max(1, -(-sequences.count() // partition_users))
-    model = Word2Vec(vectorSize=dim, minCount=1, seed=seed, windowSize=window, inputCol="words", outputCol="v", numPartitions=parts, maxIter=parts.bit_length()).fit(words)
-    return model.getVectors().select(F.col("word").cast("long").alias("item_id"), vector_to_array("vector").cast("array<float>").alias("embedding"))
+def cf_item_vectors(rows: DataFrame, dim: int = 32, window: int = 5, iterations: int = 8, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """item_id, embedding, and the eigenvalues: items by how users' histories bring them together, from rows of interactions.in_order().
+
+    The counts of item_cooccurrence() over the roots of both items' totals make a symmetric matrix with values from -1 to 1;
+    vectors are the rows of the eigenvectors of its greatest values, each times the root of its value (zero where that is
+    below), so that products of vectors approximate the matrix. The iteration runs on the matrix plus one on the diagonal,
+    which makes the greatest values the largest. Items are rows of a table throughout; items near no other have no vector.
+    """
+    pairs = stage(item_cooccurrence(rows, window), "cooccurrence")
+    degree = pairs.groupBy("item_id").agg(F.sum("n").alias("d"))
+    other = degree.toDF("other", "e")
+    weights = stage(pairs.join(degree, "item_id").join(other, "other").select("item_id", "other", (F.col("n") / F.sqrt(F.col("d") * F.col("e"))).alias("weight")), "weights")
+    if weights.isEmpty():
+        return rows.select(F.col("item").cast("long").alias("item_id"), F.array().cast("array<double>").alias("embedding")).limit(0), np.zeros(0)
+    diagonal = degree.select("item_id", F.col("item_id").alias("other"), F.lit(1.0).alias("weight"))
+    vectors, values = symmetric_factors(weights.unionByName(diagonal), dim, iterations, seed=seed)
+    return mapped(vectors, lambda x: x * np.sqrt(np.maximum(values - 1, 0))), values - 1
 
 
 def train_validation_split(vectors: DataFrame, share: float = 0.05, seed: int = 42) -> DataFrame:
@@ -102,10 +120,3 @@ def train_validation_split(vectors: DataFrame, share: float = 0.05, seed: int =
         return vectors.withColumn("is_validation", F.lit(False))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("item_id").cast("string")))
     return vectors.withColumn("is_validation", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1_000_000 < share * 1_000_000)
-
-
-def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """The ids and the rows of (item_id, embedding) batches as a matrix."""
-    for batch in batches:
-        if batch.num_rows:
-            yield batch.column(0), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 
 from lumenrec.functions.staging import Scratch
 
-from .embeddings import l2_norm, matrices
+from .embeddings import l2_norm
+from .linear import added, mapped, matrices, summed
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray, cosine: bool) -> np.ndarray:
@@ -60,13 +61,7 @@ def _sums(vectors: DataFrame, fixed: np.ndarray, now: np.ndarray, cosine: bool,
         yield pa.record_batch([pa.array(m, pa.int32()), pa.array(c, pa.int32()), pa.array(count[m, c]), pa.array(list(total[m, c]), pa.list_(pa.float64()))], schema=schema)
 
     rows = vectors.select("item_id", "embedding").mapInArrow(run, "part int, code int, n long, total array<double>")
-    return {(r["part"], r["code"]): (np.array(r["total"]), r["n"]) for r in _added(rows, "part", "code").collect()}
-
-
-def _added(rows: DataFrame, *by: str) -> DataFrame:
-    """by, n, total: the sums of the tasks' counts and vectors, added number by number with map-side combining; a row a key, whatever the input."""
-    each = rows.select(*by, "n", F.posexplode("total").alias("dim", "x")).groupBy(*by, "dim").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    return each.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda v: v["x"]).alias("total"))
+    return {(r["part"], r["code"]): (np.array(r["total"]), r["n"]) for r in added(rows, "part", "code").collect()}
 
 
 def _seeds(sample: np.ndarray, k: int, seed: int, cosine: bool) -> np.ndarray:
@@ -129,6 +124,11 @@ def fit_pq(vectors: DataFrame, parts: int, k: int, iterations: int = 5, sample:
     return _lloyd(training, np.zeros((0, 1, rows.shape[1])), now, False, iterations, split, seed, parts)
 
 
+def _pq_words(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Each row's codewords side by side."""
+    return np.concatenate([c[_nearest(p, c, False)] for p, c in zip(np.split(x, len(books), axis=1), books)], axis=1)
+
+
 def encode_pq(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     """item_id, codes: the nearest centroid of each part."""
     schema = pa.schema([("item_id", pa.int64()), ("codes", pa.list_(pa.int32()))])
@@ -141,25 +141,13 @@ def encode_pq(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return vectors.select("item_id", "embedding").mapInArrow(run, "item_id long, codes array<int>")
 
 
-def _mapped(vectors: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """item_id, embedding: every vector through a function of matrices."""
-    schema = pa.schema([("item_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in matrices(batches):
-            y = of(x)
-            yield pa.record_batch([ids, pa.FixedSizeListArray.from_arrays(y.ravel(), y.shape[1]).cast(pa.list_(pa.float64()))], schema=schema)
-
-    return vectors.select("item_id", "embedding").mapInArrow(run, "item_id long, embedding array<double>")
-
-
 def residuals(vectors: DataFrame, centroids: np.ndarray, cosine: bool = False) -> DataFrame:
     """item_id, embedding: what the given levels leave of each vector."""
-    return _mapped(vectors, lambda x: _residual_codes(x, centroids, cosine)[1])
+    return mapped(vectors, lambda x: _residual_codes(x, centroids, cosine)[1])
 
 
 def apply_rotation(vectors: DataFrame, rotation: np.ndarray) -> DataFrame:
-    return _mapped(vectors, lambda x: x @ rotation)
+    return mapped(vectors, lambda x: x @ rotation)
 
 
 def fit_opq(vectors: DataFrame, parts: int, k: int, rounds: int = 3, iterations: int = 3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -172,17 +160,7 @@ def fit_opq(vectors: DataFrame, parts: int, k: int, rounds: int = 3, iterations:
     for _ in range(rounds):
         now, books = rotation, centroids
 
-        def cross(batches: Iterator[pa.RecordBatch], now=now, books=books) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((dim, dim))
-            for _, x in matrices(batches):
-                y = np.concatenate([c[_nearest(p, c, False)] for p, c in zip(np.split(x @ now, parts, axis=1), books)], axis=1)
-                total += x.T @ y
-            yield pa.record_batch([pa.array(np.arange(dim), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "total"])
-
-        rows = vectors.select("item_id", "embedding").mapInArrow(cross, "row int, total array<double>")
-        # dim rows of dim numbers
-        summed = _added(rows.withColumn("n", F.lit(1)), "row").collect()
-        m = np.array([r["total"] for r in sorted(summed, key=lambda r: r["row"])])
+        m, _ = summed(vectors, lambda x, now=now, books=books: x.T @ _pq_words(x @ now, books))  # dim rows of dim numbers
         u, _, vt = np.linalg.svd(m)
         rotation = u @ vt
         turned = apply_rotation(vectors, rotation)

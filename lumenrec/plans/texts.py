@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumenrec.operators import embeddings as E
-from lumenrec.operators import interactions as I
+from lumenrec.operators import linear as L
 from lumenrec.operators import text as X
 
 from . import tables as T
@@ -135,8 +135,17 @@ def align_embeddings(spark, d):
 
 @query()
 def pca_embeddings(spark, d):
+    """The values of 16 components, rounded, and the variance that they keep."""
     rows, kept = E.standardize_pca(T.vectors(spark, d), 16)
-    return rows.select("item_id", F.size("embedding").alias("dim"), F.lit(round(kept, 6)).alias("kept_variance"))
+    return rows.select("item_id", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"), F.lit(round(kept, 6)).alias("kept_variance"))
+
+
+@query("""SELECT CAST(i - 1 AS INT) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round((SELECT count(*) FROM embeddings), 0)::BIGINT AS n FROM (SELECT unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY i""")
+def embedding_moments(spark, d):
+    v = T.vectors(spark, d)
+    mean, covariance, n = L.moments(v, np.array(v.first()["embedding"], dtype=float))
+    rows = [(i, round(float(m), 6), round(float(np.sqrt(c)), 6), n) for i, (m, c) in enumerate(zip(mean, np.diag(covariance)))]
+    return spark.createDataFrame(rows, "dim int, mean double, std double, n long")  # a row a dimension
 
 
 @query(f"""SELECT vec_id AS item_id, round(list_sum(list_transform({_UNIT}, lambda x: 0.7 * x)) + list_sum(list_transform(list_reverse({_UNIT}), lambda x: 0.3 * x)), 6) AS total FROM embeddings""")
@@ -146,10 +155,16 @@ def fused_embeddings(spark, d):
     return fused.select("item_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+@query(cte("ordered", p="""SELECT a.item AS x, b.item AS y FROM ordered a JOIN ordered b ON a."user" = b."user" AND b.pos BETWEEN a.pos - 3 AND a.pos + 3 AND a.item <> b.item""") + "SELECT x AS item_id, y AS other, count(*) AS n FROM p GROUP BY x, y")
+def item_cooccurrence(spark, d):
+    return E.item_cooccurrence(T.ordered(spark, d), 3)
+
+
 @query()
 def cf_vectors(spark, d):
-    v = E.cf_item_vectors(I.user_sequences(T.ordered(spark, d)), 16)
-    return v.select("item_id", F.size("embedding").alias("dim"))
+    """The values of 16 factors, rounded, and the share of the matrix's largest eigenvalue that the last one has."""
+    v, values = E.cf_item_vectors(T.ordered(spark, d), 16)
+    return v.select("item_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"), F.lit(round(float(abs(values[-1] / values[0])), 3)).alias("last_by_first"))
 
 
 @query("SELECT vec_id AS item_id, CAST('0x' || substr(md5('42|' || vec_id), 1, 8) AS BIGINT) % 1000000 < 50000 AS is_validation FROM embeddings")

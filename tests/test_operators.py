@@ -371,17 +371,52 @@ def test_embedding_tables(spark):
     x = rng.normal(size=(50, 4)) @ rng.normal(size=(4, 4))
     v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "item_id long, embedding array<double>")
     out, kept = E.standardize_pca(v, 2)
-    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
     values, axes = np.linalg.eigh(z.T @ z)
+    axes = axes[:, [-1, -2]]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
     got = np.array([r.embedding for r in out.orderBy("item_id").collect()])
-    assert kept == pytest.approx(values[-2:].sum() / values.sum()) and np.allclose(np.abs(got), np.abs(z @ axes[:, [-1, -2]]))
+    assert kept == pytest.approx(values[-2:].sum() / values.sum()) and np.allclose(got, z @ axes)
+    again = np.array([r.embedding for r in E.standardize_pca(v.repartition(5), 2)[0].orderBy("item_id").collect()])
+    assert np.allclose(got, again)
+    far = v.select("item_id", F.transform("embedding", lambda a: a * 1e-3 + 1e6).alias("embedding"))
+    assert np.allclose(np.array([r.embedding for r in E.standardize_pca(far, 2)[0].orderBy("item_id").collect()]), got, atol=1e-5)
     ragged = v.unionByName(spark.createDataFrame([(99, [1.0])], v.schema))
     assert E.standardize_pca(ragged, 2)[0].count() == 51 and E.standardize_pca(v.limit(0), 2)[1] == 1.0
     held = E.train_validation_split(v, 0.3)
     assert held.where("is_validation").count() == sum(r.is_validation for r in E.train_validation_split(v.repartition(7), 0.3).collect()) > 0
-    # items of two kinds that never meet: neighbours are nearer than strangers
-    sequences = spark.createDataFrame([([int(k) for k in rng.permutation(6) + 6 * (u % 2)],) for u in range(400)], "items array<bigint>")
-    m = {r.item_id: np.array(r.embedding) for r in E.cf_item_vectors(sequences, dim=8, partition_users=150).collect()}
-    unit = np.stack([m[i] / np.linalg.norm(m[i]) for i in range(12)])
-    near = unit @ unit.T
-    assert len(m) == 12 and near[:6, :6].mean() > near[:6, 6:].mean()
+
+
+def test_collaborative_vectors_against_numpy(spark):
+    """Five kinds of items that rarely meet: products of vectors and the loss are those of the leading eigenvectors."""
+    r = np.random.default_rng(11)
+    data = []
+    for u in range(150):
+        kind = u % 5
+        items = [int(kind * 8 + r.integers(8)) if r.uniform() < 0.9 else int(r.integers(40)) for _ in range(r.integers(2, 14))]
+        data += [(u, i, 1.0, t) for t, i in enumerate(items)]
+    o = I.in_order(spark.createDataFrame(data, "user long, item long, rating double, ts long").repartition(4), 3)
+    want = np.zeros((40, 40))
+    by = {}
+    for u, i, _, _ in data:
+        by.setdefault(u, []).append(i)
+    for v in by.values():
+        for p, q in [(p, q) for q in range(len(v)) for p in range(max(0, q - 3), q)]:
+            if v[p] != v[q]:
+                want[v[p], v[q]] += 1
+                want[v[q], v[p]] += 1
+    assert {(x.item_id, x.other, x.n) for x in E.item_cooccurrence(o, 3).collect()} == {(i, j, want[i, j]) for i, j in zip(*np.nonzero(want))}
+    root = np.sqrt(want.sum(axis=1))
+    a = want / np.outer(root, root)
+    values, axes = np.linalg.eigh(a)
+    lead = np.argsort(-values)[:5]
+    best = axes[:, lead] @ np.diag(np.maximum(values[lead], 0)) @ axes[:, lead].T
+    found, got = E.cf_item_vectors(o, dim=5, window=3, iterations=12)
+    m = {x.item_id: np.array(x.embedding) for x in found.collect()}
+    e = np.stack([m[i] for i in range(40)])
+    assert np.allclose(got, values[lead], atol=0.01) and np.abs(e @ e.T - best).max() < 0.03
+    assert np.linalg.norm(a - e @ e.T) < 1.005 * np.linalg.norm(a - best)
+    unit = e / np.linalg.norm(e, axis=1, keepdims=True)
+    kinds = np.arange(40) // 8
+    assert (kinds[np.argsort(-(unit @ unit.T), axis=1)[:, 1:8]] == kinds[:, None]).mean() > 0.95
+    assert E.cf_item_vectors(o.limit(0), dim=5)[0].count() == 0
