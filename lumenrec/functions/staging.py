@@ -64,10 +64,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self._written = spark, new_path(spark, name), {}
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """df, written and reread; by: a column of few values, a folder each, so that filters on it read few of them."""
         paths = self._written.setdefault(name, [])
         paths.append(f"{self.path}/{name}-{len(paths)}")
-        df.write.parquet(paths[-1])
+        if by:
+            df.repartition(by).write.partitionBy(by).parquet(paths[-1])
+        else:
+            df.write.parquet(paths[-1])
         return self.spark.read.schema(df.schema).parquet(paths[-1])
 
     def drop(self, *names: str) -> None:

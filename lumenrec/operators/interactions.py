@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenrec.functions.staging import stage
+from lumenrec.functions.staging import Scratch, stage
 
 from .ranges import placed, with_previous
 
@@ -46,20 +46,47 @@ def units_at_least(df: DataFrame, unit: str, threshold: int) -> DataFrame:
     return degree_counts(df, unit).where(F.col("n") >= threshold).select(unit)
 
 
-def k_core(df: DataFrame, user_k: int = 5, item_k: int = 5) -> DataFrame:
-    """The largest part in which every user has user_k rows and every item item_k.
+def k_core(df: DataFrame, user_k: int = 5, item_k: int = 5, trace: list[tuple[int, int]] | None = None) -> DataFrame:
+    """The largest part in which every user has user_k rows and every item item_k; rows without user or item go.
 
-    Both counts of a round are taken on the same rows; rounds are staged and end when none drops a row.
+    Peeling by deltas: degrees are counted once, and a round subtracts from the neighbours of the users and items that
+    fell in the round before. It reads only the buckets of edges in which these stand, and the rows are filtered once, at
+    the end. trace gets (fallen, rows that they took with them) for each round.
     """
     if user_k <= 0 and item_k <= 0:
         return df
-    df, rows = stage(df, "core"), -1
-    while True:
-        kept = df.join(units_at_least(df, "user", user_k), "user", "left_semi").join(units_at_least(df, "item", item_k), "item", "left_semi")
-        df, before = stage(kept.select(*df.columns), "core"), rows
-        rows = df.count()
-        if rows == before or rows == 0:
-            return df
+    spark = df.sparkSession
+    rows = stage(df.where("user IS NOT NULL AND item IS NOT NULL"), "core")
+    scratch = Scratch(spark, "peeling")
+    least = lambda side: F.when(F.col(side) == 0, user_k).otherwise(item_k)
+    # users and items are nodes of two sides; an edge stands at both of its ends, in a bucket of the first
+    text = lambda c: F.col(c).cast("string")
+    ends = F.array(F.struct(F.lit(0).alias("side"), text("user").alias("node"), text("item").alias("other")), F.struct(F.lit(1).alias("side"), text("item").alias("node"), text("user").alias("other")))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = rows.groupBy("user", "item").agg(F.count("*").alias("n")).select("n", F.inline(ends))
+    edges = scratch.stage(pairs.withColumn("bucket", F.pmod(F.xxhash64("side", "node"), F.lit(buckets)).cast("int")), "edges", by="bucket")
+    degrees = scratch.stage(edges.groupBy("side", "node", "bucket").agg(F.sum("n").alias("degree")), "degrees")
+    fallen = scratch.stage(degrees.where(F.col("degree") < least("side")).select("side", "node", "bucket"), "fallen")
+    lost, every = None, None
+    while not fallen.isEmpty():
+        every = fallen if every is None else every.unionByName(fallen)
+        at = [r[0] for r in fallen.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        near = edges.where(F.col("bucket").isin(at)).join(fallen.select("side", "node"), ["side", "node"])
+        near = near.select((1 - F.col("side")).alias("side"), F.col("other").alias("node"), F.col("n").alias("now"), F.lit(0).cast("long").alias("before"))
+        if lost is not None:
+            near = near.unionByName(lost.select("side", "node", "now", F.col("now").alias("before")))
+        lost = scratch.stage(near.groupBy("side", "node").agg(F.sum("now").alias("now"), F.sum("before").alias("before")), "lost")
+        if trace is not None:
+            trace.append((fallen.count(), lost.agg(F.sum(F.col("now") - F.col("before"))).first()[0]))
+        down = degrees.join(lost, ["side", "node"]).where((F.col("degree") - F.col("before") >= least("side")) & (F.col("degree") - F.col("now") < least("side")))
+        fallen = scratch.stage(down.select("side", "node", "bucket"), "fallen")
+    if every is not None:
+        for side, c in enumerate(("user", "item")):
+            gone = every.where(F.col("side") == side).select(F.col("node").alias("gone"))
+            rows = rows.join(gone, text(c) == F.col("gone"), "left_anti")
+        rows = stage(rows, "core")
+    scratch.keep()
+    return rows
 
 
 def dense_ids(df: DataFrame, key: str) -> DataFrame:

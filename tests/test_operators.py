@@ -38,6 +38,28 @@ def test_k_core_counts_both_sides_at_once(spark):
     assert I.k_core(df.limit(0), 2, 2).count() == 0
 
 
+def test_k_core_by_plain_rounds(spark):
+    """A chain that falls one by one behind a hot user: equal to plain rounds, and later rounds take few rows."""
+    r = np.random.default_rng(12)
+    pairs = [("hot", f"i{k}") for k in range(200)] + [(f"u{r.integers(60)}", f"i{r.integers(80)}") for _ in range(400)]
+    pairs += [(f"c{k}", f"d{k + j}") for k in range(12) for j in (0, 1)] + [("u1", "i1")] * 3
+    df = spark.createDataFrame([(u, i, 1.0, t) for t, (u, i) in enumerate(pairs)] + [(None, "i1", 1.0, 1), ("u1", None, 1.0, 1)], INTER)
+    for ku, ki in ((2, 2), (3, 4), (5, 5), (0, 3), (500, 1)):
+        left = list(enumerate(pairs))
+        while True:
+            users, items = ({k: sum(p[side] == k for _, p in left) for k in {p[side] for _, p in left}} for side in (0, 1))
+            kept = [(t, p) for t, p in left if users[p[0]] >= ku and items[p[1]] >= ki]
+            if len(kept) == len(left):
+                break
+            left = kept
+        trace = []
+        got = I.k_core(df.repartition(3), ku, ki, trace)
+        assert rows(got, "user", "item", "ts") == sorted((*p, t) for t, p in left)
+    trace = []
+    I.k_core(df, 2, 2, trace)
+    assert len(trace) > 5 and trace[-1][1] < trace[0][1] / 5 and trace[-1][0] <= 2
+
+
 def test_dense_ids_are_in_byte_order(spark):
     df = spark.createDataFrame([("P10",), ("P2",), ("P1",), ("P2",)], "item string")
     assert rows(I.dense_ids(df, "item"), "item", "idx") == [("P1", 0), ("P10", 1), ("P2", 2)]
