@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from lumenrec.functions.staging import Scratch, stage
 
-from .ranges import placed, with_previous
+from .ranges import numbered, placed, with_previous
 
 HISTORY = 50
 
@@ -90,13 +90,8 @@ def k_core(df: DataFrame, user_k: int = 5, item_k: int = 5, trace: list[tuple[in
 
 
 def dense_ids(df: DataFrame, key: str) -> DataFrame:
-    """key, idx: distinct keys in order, numbered from 0; a range sort and offsets by partition, no global window."""
-    keys = df.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    numbered = stage(keys.withColumn("m", F.monotonically_increasing_id()), "keys")
-    numbered = numbered.withColumns({"p": F.shiftright("m", 33), "i": F.col("m").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = numbered.groupBy("p").agg(F.count("*").alias("n"))  # one row a partition
-    starts = sizes.select("p", F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    return numbered.join(starts, "p").select(key, (F.col("start") + F.col("i")).alias("idx"))
+    """key, idx: distinct keys in order, numbered from 0."""
+    return numbered(df.select(key).distinct(), key)
 
 
 def with_dense_ids(df: DataFrame) -> DataFrame:

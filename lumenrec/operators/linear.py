@@ -19,8 +19,11 @@ def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.n
             yield batch.column(0), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
 
-def added(rows: DataFrame, *by: str) -> DataFrame:
-    """by, n, total: the sums of the tasks' counts and vectors, added number by number with map-side combining; a row a key, whatever the input."""
+def added(rows: DataFrame, *by: str, width: int = 0) -> DataFrame:
+    """by, n, total: the sums of the tasks' counts and vectors, added number by number with map-side combining; a row a key, whatever the input. Vectors of few numbers (width) are added as columns."""
+    if 0 < width <= 128:
+        sums = rows.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(F.get("total", F.lit(k))).alias(f"x{k}") for k in range(width)])
+        return sums.select(*by, "n", F.array(*[f"x{k}" for k in range(width)]).alias("total"))
     each = rows.select(*by, "n", F.posexplode("total").alias("dim", "x")).groupBy(*by, "dim").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     return each.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda v: v["x"]).alias("total"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenrec.functions.staging import Scratch
+from lumenrec.functions.staging import Scratch, stage
 
 from .embeddings import l2_norm
-from .linear import added, mapped, matrices, summed
+from .linear import added, mapped, matrices, moments, summed
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray, cosine: bool) -> np.ndarray:
@@ -33,13 +34,29 @@ def _residual_codes(x: np.ndarray, centroids: np.ndarray, cosine: bool) -> tuple
     return (np.stack(codes, axis=1) if codes else np.zeros((len(x), 0), dtype=np.int64)), x
 
 
-def encode_residual(vectors: DataFrame, centroids: np.ndarray, cosine: bool = False) -> DataFrame:
-    """item_id, codes: level by level the nearest centroid (the first of equals), then on with the residual."""
+class Scale(NamedTuple):
+    """Moments that are kept with a codebook whose vectors are scaled to mean 0 and deviation 1 before the first level."""
+
+    mean: np.ndarray
+    std: np.ndarray
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.std
+
+
+def fit_scale(vectors: DataFrame) -> Scale:
+    """Means and deviations (of a sample, 1e-6 at least) of all dimensions over all rows, in one pass."""
+    mean, covariance, n = moments(vectors, np.array(vectors.select("embedding").first()[0], dtype=float))
+    return Scale(mean, np.maximum(np.sqrt(np.maximum(np.diag(covariance), 0) * n / max(n - 1, 1)), 1e-6))
+
+
+def encode_residual(vectors: DataFrame, centroids: np.ndarray, cosine: bool = False, scale: Scale | None = None) -> DataFrame:
+    """item_id, codes: level by level the nearest centroid (the first of equals), then on with the residual; with a scale, of scaled vectors."""
     schema = pa.schema([("item_id", pa.int64()), ("codes", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in matrices(batches):
-            codes = _residual_codes(x, centroids, cosine)[0].astype(np.int32)
+            codes = _residual_codes(scale.of(x) if scale else x, centroids, cosine)[0].astype(np.int32)
             yield pa.record_batch([ids, pa.FixedSizeListArray.from_arrays(codes.ravel(), codes.shape[1]).cast(pa.list_(pa.int32()))], schema=schema)
 
     return vectors.select("item_id", "embedding").mapInArrow(run, "item_id long, codes array<int>")
@@ -61,7 +78,7 @@ def _sums(vectors: DataFrame, fixed: np.ndarray, now: np.ndarray, cosine: bool,
         yield pa.record_batch([pa.array(m, pa.int32()), pa.array(c, pa.int32()), pa.array(count[m, c]), pa.array(list(total[m, c]), pa.list_(pa.float64()))], schema=schema)
 
     rows = vectors.select("item_id", "embedding").mapInArrow(run, "part int, code int, n long, total array<double>")
-    return {(r["part"], r["code"]): (np.array(r["total"]), r["n"]) for r in added(rows, "part", "code").collect()}
+    return {(r["part"], r["code"]): (np.array(r["total"]), r["n"]) for r in added(rows, "part", "code", width=now.shape[2]).collect()}
 
 
 def _seeds(sample: np.ndarray, k: int, seed: int, cosine: bool) -> np.ndarray:
@@ -77,12 +94,36 @@ def _seeds(sample: np.ndarray, k: int, seed: int, cosine: bool) -> np.ndarray:
     return np.array(chosen)
 
 
+def smallest_hashes(vectors: DataFrame, n: int, seed: int) -> DataFrame:
+    """The n rows with the smallest seeded hashes of their item, the same for every partitioning; all rows if there are no more.
+
+    A histogram of the hashes' leading bits gives the bucket in which the n-th lies; only its rows are sorted, and a filter over all tasks does the rest.
+    """
+    rows = vectors.withColumn("_hash", F.xxhash64(F.lit(seed), "item_id"))
+    counts = rows.groupBy(F.shiftright("_hash", 48).alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()  # 65,536 rows at most
+    left = n
+    for r in counts:
+        if r["n"] >= left:
+            break
+        left -= r["n"]
+    else:
+        return vectors
+    last = rows.where(F.shiftright("_hash", 48) == r["b"]).select("_hash", "item_id").orderBy("_hash", "item_id").limit(left).agg(F.max(F.struct("_hash", "item_id"))).first()[0]
+    kept = rows.where((F.col("_hash") < last["_hash"]) | ((F.col("_hash") == last["_hash"]) & (F.col("item_id") <= last["item_id"])))
+    return kept.select(*vectors.columns)
+
+
 def _sample(vectors: DataFrame, n: int, seed: int) -> np.ndarray:
     """At most n rows, those with the smallest hashes: the same for every partitioning."""
     rows = vectors.orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id").limit(n).select("embedding").collect()
     return np.array([r[0] for r in rows], dtype=np.float64)
 
 
+def _training(vectors: DataFrame, sample: int, seed: int) -> DataFrame:
+    """The rows to train on: all, or so many, written once over many partitions."""
+    return stage(smallest_hashes(vectors.select("item_id", "embedding"), sample, seed), "training") if vectors.count() > sample else vectors
+
+
 def _lloyd(vectors: DataFrame, fixed: np.ndarray, now: np.ndarray, cosine: bool, iterations: int, sample: np.ndarray, seed: int, slices: int = 1) -> np.ndarray:
     rng = np.random.default_rng(seed + 1)
     for _ in range(iterations):
@@ -95,8 +136,10 @@ def _lloyd(vectors: DataFrame, fixed: np.ndarray, now: np.ndarray, cosine: bool,
     return now
 
 
-def fit_residual_kmeans(vectors: DataFrame, levels: int, k: int, iterations: int = 5, cosine: bool = False, sample: int = 4096, seed: int = 42, start: np.ndarray | None = None) -> np.ndarray:
-    """Centroids [level, code, dim], level by level by full Lloyd iterations; plain means also for cosine assignment; empty clusters start anew from the sample."""
+def fit_residual_kmeans(vectors: DataFrame, levels: int, k: int, iterations: int = 5, cosine: bool = False, sample: int = 4096, seed: int = 42, start: np.ndarray | None = None, scale: Scale | None = None) -> np.ndarray:
+    """Centroids [level, code, dim], level by level by full Lloyd iterations; plain means also for cosine assignment; empty clusters start anew from the sample. With a scale, centroids of scaled vectors."""
+    if scale:
+        vectors = mapped(vectors, scale.of)
     left, none, books = _sample(vectors, sample, seed), np.zeros((0, k, 0)), []
     scratch = Scratch(vectors.sparkSession, "residuals")
     for level in range(levels):
@@ -118,7 +161,7 @@ def fit_pq(vectors: DataFrame, parts: int, k: int, iterations: int = 5, sample:
     rows = _sample(vectors, min(sample, 4096), seed)
     if rows.shape[1] % parts:
         raise ValueError("parts must divide the dimension")
-    training = vectors.orderBy(F.xxhash64(F.lit(seed), "item_id"), "item_id").limit(sample) if vectors.count() > sample else vectors
+    training = _training(vectors, sample, seed)
     split = np.split(rows, parts, axis=1)
     now = start if start is not None else np.stack([_seeds(x, k, seed + m, False) for m, x in enumerate(split)])
     return _lloyd(training, np.zeros((0, 1, rows.shape[1])), now, False, iterations, split, seed, parts)
@@ -150,22 +193,23 @@ def apply_rotation(vectors: DataFrame, rotation: np.ndarray) -> DataFrame:
     return mapped(vectors, lambda x: x @ rotation)
 
 
-def fit_opq(vectors: DataFrame, parts: int, k: int, rounds: int = 3, iterations: int = 3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """A rotation and product centroids, in turn: codes for the rotated vectors, then the rotation that brings vectors closest to their codewords."""
+def fit_opq(vectors: DataFrame, parts: int, k: int, rounds: int = 3, iterations: int = 3, seed: int = 42, sample: int = 256_000) -> tuple[np.ndarray, np.ndarray]:
+    """A rotation and product centroids, in turn: codes for the rotated vectors, then the rotation that brings vectors closest to their codewords. The training rows are the bounded sample of fit_pq, rotated once a round."""
     if k & (k - 1):
         raise ValueError("the codebook size must be a power of two")
-    dim = vectors.select(F.size("embedding")).first()[0]
-    rotation = np.eye(dim)
-    centroids = fit_pq(vectors, parts, k, iterations, seed=seed)
+    training = _training(vectors, sample, seed)
+    dim = training.select(F.size("embedding")).first()[0]
+    rows, rotation = _sample(training, 4096, seed), np.eye(dim)
+    centroids = fit_pq(training, parts, k, iterations, sample, seed)
+    scratch = Scratch(vectors.sparkSession, "rotated")
     for _ in range(rounds):
         now, books = rotation, centroids
-
-        m, _ = summed(vectors, lambda x, now=now, books=books: x.T @ _pq_words(x @ now, books))  # dim rows of dim numbers
+        m, _ = summed(training, lambda x, now=now, books=books: x.T @ _pq_words(x @ now, books))  # dim rows of dim numbers
         u, _, vt = np.linalg.svd(m)
         rotation = u @ vt
-        turned = apply_rotation(vectors, rotation)
-        sample = np.split(_sample(turned, 4096, seed), parts, axis=1)
-        centroids = _lloyd(turned, np.zeros((0, 1, dim)), centroids, False, iterations, sample, seed, parts)
+        turned = scratch.stage(apply_rotation(training, rotation), "turned")
+        centroids = _lloyd(turned, np.zeros((0, 1, dim)), centroids, False, iterations, np.split(rows @ rotation, parts, axis=1), seed, parts)
+        scratch.drop("turned")
     return rotation, centroids
 
 
@@ -174,11 +218,12 @@ def centroid_table(spark, centroids: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "level int, code int, centroid array<double>")
 
 
-def reconstruct(codebook: DataFrame, centroids: DataFrame) -> DataFrame:
-    """item_id, embedding: the sum of the codewords of all levels."""
+def reconstruct(codebook: DataFrame, centroids: DataFrame, scale: Scale | None = None) -> DataFrame:
+    """item_id, embedding: the sum of the codewords of all levels; with a scale, in the vectors' own units."""
     each = codebook.select("item_id", F.posexplode("codes").alias("level", "code")).join(centroids, ["level", "code"])
     parts = each.select("item_id", "level", F.posexplode("centroid").alias("dim", "x")).groupBy("item_id", "dim").agg(F.sum("x").alias("x"))
-    return parts.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda v: v["x"]).alias("embedding"))
+    found = parts.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda v: v["x"]).alias("embedding"))
+    return mapped(found, lambda x: x * scale.std + scale.mean) if scale else found
 
 
 def quantization_loss(vectors: DataFrame, codebook: DataFrame, centroids: DataFrame) -> DataFrame:

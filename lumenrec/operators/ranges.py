@@ -63,3 +63,13 @@ def with_previous(rows: DataFrame, key: str, value: str, m: int, name: str = "pr
     both = F.concat("halo", name)
     last = F.slice(both, F.greatest(F.size(both) - m + 1, F.lit(1)), F.lit(m))
     return joined.withColumn(name, F.when(F.size(name) < m, F.coalesce(last, F.col(name))).otherwise(F.col(name))).select(*rows.columns, name)
+
+
+def numbered(keys: DataFrame, *order: str) -> DataFrame:
+    """keys with idx: their places in the given order from 0; a range sort and offsets by range, no global window."""
+    rows = keys.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stage(rows.withColumn("line", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumns({"part": F.shiftright("line", 33), "at": F.col("line").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("part").agg(F.count("*").alias("many"))  # one row a range
+    starts = sizes.select("part", F.coalesce(F.sum("many").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return rows.join(F.broadcast(starts), "part").select(*keys.columns, (F.col("start") + F.col("at")).alias("idx"))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from lumenrec.functions.staging import stage
 
 from .interactions import last_n, pad_or_truncate
+from .ranges import numbered
 
 IGNORE = -100
 
@@ -77,19 +81,46 @@ def retrieval_sequences(samples: DataFrame, max_len: int, drop_zero_item: bool =
     return s.select("user", "pos", F.concat("h", rest(0, 0)).alias("input_ids"), labels.alias("labels_seq"))
 
 
-def prefix_table(tokens: DataFrame, eos: int) -> DataFrame:
-    """prefix, next_tokens: every start of a valid path and what may follow it, EOS at the end."""
+def token_trie(tokens: DataFrame, eos: int) -> DataFrame:
+    """node, token, child, prefix: the prefix tree of all valid paths, each item's tokens without pads and then EOS.
+
+    Nodes are integers, the root 0: a path's place in order, of the first path below a node, and the node's depth.
+    """
     path = F.concat(F.filter("tokens", lambda t: t != 0), F.array(F.lit(eos)))
-    each = tokens.select(path.alias("path")).distinct().select("path", F.posexplode("path").alias("i", "next"))
-    return each.select(F.slice("path", F.lit(1), F.col("i")).alias("prefix"), "next").groupBy("prefix").agg(F.sort_array(F.collect_set("next")).alias("next_tokens"))
+    paths = numbered(tokens.select(path.alias("path")).distinct(), "path")
+    longest = (tokens.agg(F.max(F.size("tokens"))).first()[0] or 0) + 1
+    each = paths.select("path", "idx", F.posexplode("path").alias("depth", "token"))
+    edges = each.groupBy(F.slice("path", F.lit(1), F.col("depth")).alias("prefix"), "depth", "token").agg(F.min("idx").alias("first"))
+    # as many rows a node as it has children, at most the vocabulary
+    node = F.min("first").over(W.partitionBy("prefix")) * (longest + 1) + F.col("depth")
+    return edges.select(node.alias("node"), "token", (F.col("first") * (longest + 1) + F.col("depth") + 1).alias("child"), "prefix")
 
 
-def allowed_next_tokens(inputs: DataFrame, prefixes: DataFrame, eos: int, skip_bos: int = 0, or_eos: bool = True) -> DataFrame:
-    """inputs (input_ids, ...) with next_tokens; an unknown prefix allows EOS alone, or nothing."""
-    start = F.slice("input_ids", F.lit(skip_bos + 1), F.greatest(F.size("input_ids") - skip_bos, F.lit(0)))
+def prefix_table(trie: DataFrame) -> DataFrame:
+    """node, prefix, next_tokens: every start of a valid path and what may follow it, EOS at the end."""
+    return trie.groupBy("node").agg(F.first("prefix").alias("prefix"), F.sort_array(F.collect_set("token")).alias("next_tokens"))
+
+
+def advance(beams: DataFrame, trie: DataFrame, token: str = "token", node: str = "node") -> DataFrame:
+    """beams with each node replaced by its child at the token, null where there is none: a step of a beam moves two integers a row."""
+    steps = trie.select(F.col("node").alias("_node"), F.col("token").alias("_token"), F.col("child").alias("_child"))
+    moved = beams.join(steps, (F.col(node) == F.col("_node")) & (F.col(token) == F.col("_token")), "left")
+    return moved.withColumn(node, F.col("_child")).drop("_node", "_token", "_child")
+
+
+def allowed_next_tokens(inputs: DataFrame, trie: DataFrame, eos: int, skip_bos: int = 0, or_eos: bool = True) -> DataFrame:
+    """inputs (input_ids, ...) with next_tokens; an unknown prefix allows EOS alone, or nothing. Each token is one step of advance(), on distinct inputs."""
     none = F.array(F.lit(eos)) if or_eos else F.array().cast("array<int>")
-    rows = inputs.withColumn("prefix", start).join(prefixes, "prefix", "left")
-    return rows.withColumn("next_tokens", F.coalesce("next_tokens", none)).drop("prefix")
+    start = F.slice("input_ids", F.lit(skip_bos + 1), F.greatest(F.size("input_ids") - skip_bos, F.lit(0)))
+    walks = stage(inputs.select(start.alias("_start")).distinct().withColumn("_walk", F.monotonically_increasing_id()), "walks")
+    now = walks.select("_walk", F.lit(0).cast("long").alias("node"))
+    for at in range(walks.agg(F.max(F.size("_start"))).first()[0] or 0):
+        chosen = walks.select("_walk", F.get("_start", F.lit(at)).alias("token"))
+        moved = advance(now.join(chosen, "_walk").withColumn("to", F.col("node")), trie, node="to")
+        now = moved.select("_walk", F.when(F.col("token").isNull(), F.col("node")).otherwise(F.col("to")).alias("node"))
+    ends = walks.join(now, "_walk").join(prefix_table(trie).select("node", "next_tokens"), "node", "left").select("_start", "next_tokens")
+    rows = inputs.withColumn("_start", start).join(ends, "_start", "left")
+    return rows.withColumn("next_tokens", F.coalesce("next_tokens", none)).drop("_start")
 
 
 def padded_histories(samples: DataFrame, max_len: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenrec.functions.staging import new_path, stage
 from lumenrec.operators import interactions as I
+from lumenrec.operators import linear as L
 from lumenrec.operators import quantize as Q
 from lumenrec.operators import tokens as K
 from lumenrec.sources import readers, writers
@@ -39,9 +40,9 @@ def _means(rows, by):
     return np.array([r["m"] for r in sorted(found, key=lambda r: r["g"])])
 
 
-def fixed_codebook(spark, d):
+def fixed_codebook(spark, d, v=None):
     """Vectors, their codes under two fixed levels of centroids, and the centroids as a table."""
-    v = T.vectors(spark, d)
+    v = T.vectors(spark, d) if v is None else v
     c0 = _means(v, F.col("label"))
     codes0 = Q.encode_residual(v, c0[None])
     near = Q.reconstruct(codes0, Q.centroid_table(spark, c0[None])).withColumnRenamed("embedding", "near")
@@ -72,6 +73,24 @@ def encode_fixed_centroids(spark, d):
     return fixed_codebook(spark, d)[1].select("item_id", joined("codes").alias("codes"))
 
 
+#: The same for vectors scaled to mean 0 and deviation 1.
+_SCALED = _FIXED.replace("v AS MATERIALIZED (", """w AS MATERIALIZED (SELECT vec_id AS item_id, label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS MATERIALIZED (SELECT i, avg(x) AS mean, greatest(stddev_samp(x), 1e-6) AS std FROM w GROUP BY i),
+v AS MATERIALIZED (SELECT item_id, label, list((x - mean) / std ORDER BY w.i) AS e FROM w JOIN m ON w.i = m.i GROUP BY item_id, label), unscaled AS (""", 1)
+
+
+@query(_SCALED + """, z AS (SELECT item_id, unnest(range(1, 65)) AS i, unnest(cx) AS p, unnest(cy) AS q, x || ',' || y AS codes FROM b)
+SELECT item_id, codes, round(sum((p + q) * std + mean), 4) AS total FROM z JOIN m ON z.i = m.i GROUP BY item_id, codes""")
+def encode_scaled_vectors(spark, d):
+    """Two fixed levels over scaled vectors, and what their codes make up in the vectors' own units."""
+    v = T.vectors(spark, d)
+    scale = Q.fit_scale(v)
+    scaled = L.mapped(v, scale.of).join(v.select("item_id", "label"), "item_id")
+    _, codes, books = fixed_codebook(spark, d, stage(scaled, "scaled"))
+    total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total")
+    return Q.reconstruct(codes, books, scale).join(codes, "item_id").select("item_id", joined("codes").alias("codes"), total)
+
+
 @query(_FIXED + "SELECT item_id, round(list_sum(cx) + list_sum(cy), 5) AS total, 64 AS dim FROM b")
 def reconstruct(spark, d):
     _, codes, books = fixed_codebook(spark, d)
@@ -222,14 +241,28 @@ _PREFIX = cte("tokens", path=f"SELECT DISTINCT list_append(tokens, {_EOS}) AS t
 @query(_PREFIX + "SELECT prefix, next_tokens FROM tab")
 def prefix_table(spark, d):
     t, layout = tokens_of(spark, d)
-    return K.prefix_table(t, layout["eos"]).select(joined("prefix").alias("prefix"), joined("next_tokens").alias("next_tokens"))
+    return K.prefix_table(K.token_trie(t, layout["eos"])).select(joined("prefix").alias("prefix"), joined("next_tokens").alias("next_tokens"))
 
 
 @query(_PREFIX + f"SELECT p_partkey, coalesce(next_tokens, CAST({_EOS} AS VARCHAR)) AS next_tokens FROM (SELECT p_partkey, (1 + p_size % 4) || ',' || (5 + p_partkey % 4) AS prefix FROM part) q LEFT JOIN tab ON q.prefix = tab.prefix")
 def allowed_next(spark, d):
     t, layout = tokens_of(spark, d)
     inputs = T.table(spark, d, "part").select("p_partkey", F.array(F.lit(0), (F.col("p_size") % 4 + 1).cast("int"), (F.col("p_partkey") % 4 + 5).cast("int")).alias("input_ids"))
-    return K.allowed_next_tokens(inputs, K.prefix_table(t, layout["eos"]), layout["eos"], skip_bos=1).select("p_partkey", joined("next_tokens").alias("next_tokens"))
+    return K.allowed_next_tokens(inputs, stage(K.token_trie(t, layout["eos"]), "trie"), layout["eos"], skip_bos=1).select("p_partkey", joined("next_tokens").alias("next_tokens"))
+
+
+@query(cte("tokens", p="SELECT p_partkey, (1 + p_size % 4) AS a, (5 + p_partkey % 4) AS b, (9 + p_partkey % 5) AS c FROM part", x="SELECT DISTINCT tokens[1] AS a, tokens[2] AS b, tokens[3] AS c FROM tokens")
+       + "SELECT p_partkey, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.a = p.a AND x.b = p.b AND x.c = p.c) THEN 3 WHEN EXISTS (SELECT 1 FROM x WHERE x.a = p.a AND x.b = p.b) THEN 2 WHEN EXISTS (SELECT 1 FROM x WHERE x.a = p.a) THEN 1 ELSE 0 END AS steps FROM p")
+def beam_steps(spark, d):
+    """How many of three tokens a beam can take: each step looks its node and token up in the trie."""
+    t, layout = tokens_of(spark, d)
+    trie = stage(K.token_trie(t, layout["eos"]), "trie")
+    p = T.table(spark, d, "part")
+    chosen = F.array((F.col("p_size") % 4 + 1).cast("int"), (F.col("p_partkey") % 4 + 5).cast("int"), (F.col("p_partkey") % 5 + 9).cast("int"))
+    beams = p.select("p_partkey", chosen.alias("chosen"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("steps"))
+    for at in range(3):
+        beams = K.advance(beams.withColumn("token", F.get("chosen", F.lit(at))), trie).withColumn("steps", F.col("steps") + F.col("node").isNotNull().cast("int"))
+    return beams.select("p_partkey", "steps")
 
 
 def samples(spark, d):

@@ -175,10 +175,12 @@ def test_layout_tokens_and_prefixes(spark):
     assert (layout["sizes"], layout["bases"], layout["mask"], layout["cls"], layout["sep"], layout["eos"], layout["vocab_size"]) == ([4, 4, 2], [0, 4, 8], 11, 12, 13, 14, 15)
     t = K.item_tokens(book, layout)
     assert rows(t, "item_id", "tokens") == [(1, [4, 5, 10]), (2, [4, 6, 9])]
-    table = K.prefix_table(t, 14)
-    assert rows(table, "prefix", "next_tokens") == [([], [4]), ([4], [5, 6]), ([4, 5], [10]), ([4, 5, 10], [14]), ([4, 6], [9]), ([4, 6, 9], [14])]
-    asked = spark.createDataFrame([([0, 4, 5],), ([0, 9],)], "input_ids array<int>")
-    assert rows(K.allowed_next_tokens(asked, table, 14, skip_bos=1), "input_ids", "next_tokens") == [([0, 4, 5], [10]), ([0, 9], [14])]
+    trie = K.token_trie(t, 14)
+    assert rows(K.prefix_table(trie), "prefix", "next_tokens") == [([], [4]), ([4], [5, 6]), ([4, 5], [10]), ([4, 5, 10], [14]), ([4, 6], [9]), ([4, 6, 9], [14])]
+    edges = [(r.node, r.child) for r in trie.collect()]
+    assert len({x for e in edges for x in e}) == 8 and len({c for _, c in edges} - {n for n, _ in edges}) == 2
+    asked = spark.createDataFrame([([0, 4, 5],), ([0, 9],), ([0],), ([0, 4, 5, 10, 14, 1],), ([0, 4, 5],)], "input_ids array<int>")
+    assert rows(K.allowed_next_tokens(asked, trie, 14, skip_bos=1), "input_ids", "next_tokens") == [([0], [4]), ([0, 4, 5], [10]), ([0, 4, 5], [10]), ([0, 4, 5, 10, 14, 1], [14]), ([0, 9], [14])]
     with pytest.raises(Exception, match="bad codes"):
         K.item_tokens(spark.createDataFrame([(0, [4, 0, 0])], "item_id long, codes array<int>"), layout).collect()
 
@@ -409,6 +411,39 @@ def test_embedding_tables(spark):
     assert held.where("is_validation").count() == sum(r.is_validation for r in E.train_validation_split(v.repartition(7), 0.3).collect()) > 0
 
 
+def test_pq_sample_is_exact_and_spread(spark):
+    """Above the bound: the rows with the smallest hashes, in more than one task; as before for the codebook."""
+    r = np.random.default_rng(13)
+    v = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(3000)], "item_id long, embedding array<double>").repartition(6)
+    got = Q.smallest_hashes(v, 500, 42)
+    want = v.orderBy(F.xxhash64(F.lit(42), "item_id"), "item_id").limit(500)
+    assert rows(got, "item_id") == rows(want, "item_id") and got.rdd.getNumPartitions() > 1
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(Q.smallest_hashes(v, 3000, 42), "item_id") == [(i,) for i in range(3000)]
+    assert np.allclose(Q.fit_pq(v, 2, 4, 3, sample=500), Q.fit_pq(want, 2, 4, 3, sample=500))
+    rotation, books = Q.fit_opq(v, 2, 4, rounds=1, iterations=2, sample=500)
+    assert np.allclose(rotation @ rotation.T, np.eye(4)) and books.shape == (2, 4, 2)
+
+
+def test_scaled_residual_codes(spark):
+    """Z-scores before the first level, undone after the last; vectors of very different scales."""
+    r = np.random.default_rng(14)
+    x = r.normal(size=(200, 3)) * [1e-3, 1.0, 1e4] + [5.0, 0.0, -1e5]
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "item_id long, embedding array<double>")
+    scale = Q.fit_scale(v)
+    assert np.allclose(scale.mean, x.mean(axis=0)) and np.allclose(scale.std, x.std(axis=0, ddof=1))
+    z = (x - scale.mean) / scale.std
+    books = Q.fit_residual_kmeans(v, 2, 8, iterations=4, scale=scale)
+    codes = {c.item_id: c.codes for c in Q.encode_residual(v, books, scale=scale).collect()}
+    first = ((z[:, None] - books[0][None]) ** 2).sum(axis=2).argmin(axis=1)
+    second = (((z - books[0][first])[:, None] - books[1][None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert [codes[i] for i in range(200)] == np.stack([first, second], axis=1).tolist()
+    near = {c.item_id: c.embedding for c in Q.reconstruct(Q.encode_residual(v, books, scale=scale), Q.centroid_table(spark, books), scale).collect()}
+    assert np.allclose([near[i] for i in range(200)], (books[0][first] + books[1][second]) * scale.std + scale.mean)
+    still = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0])], "item_id long, embedding array<double>")
+    assert Q.fit_scale(still).std[0] == 1e-6 and np.isfinite(Q.fit_scale(still.limit(1)).std).all()
+
+
 def test_collaborative_vectors_against_numpy(spark):
     """Five kinds of items that rarely meet: products of vectors and the loss are those of the leading eigenvectors."""
     r = np.random.default_rng(11)
