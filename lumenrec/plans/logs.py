@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenrec.functions.staging import new_path
 from lumenrec.operators import interactions as I
 from lumenrec.operators.tokens import padded_histories as pad_histories
-from lumenrec.sources import readers, writers
+from lumenrec.sources import byteranges, readers, writers
 
 from . import tables as T
 from .tables import cte
@@ -233,7 +233,16 @@ def item_json_roundtrip(spark, d):
     fields = F.struct(F.col("p_name").alias("title"), F.concat(F.lit("about "), "p_name").alias("description"), F.col("p_brand").alias("brand"), F.col("p_type").alias("categories"))
     objects = p.groupBy(F.floor(F.col("p_partkey") / 500).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), fields))).alias("m"))
     objects.select("block", F.to_json("m")).write.partitionBy("block").text(path)
-    return readers.read_item_json(spark, path)
+    return readers.read_item_json(spark, path, range_bytes=1 << 14)
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS item_id, array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS BIGINT)), ',') AS embedding FROM embeddings")
+def embedding_matrix_roundtrip(spark, d):
+    """Vectors as .npy files, read back in ranges of 16 KB."""
+    path = new_path(spark, "matrix")
+    byteranges.write_matrix(T.vectors(spark, d), path)
+    rows = readers.read_embedding_matrix(spark, path, 1 << 14)
+    return rows.select("item_id", joined(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))).alias("embedding"))
 
 
 @query(cte("meta") + "SELECT item AS idx, title, brand, categories FROM meta")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,8 @@ from pyspark.sql import types as T
 from lumenrec.operators.interactions import last_n, pad_or_truncate
 from lumenrec.operators.text import clean_text
 
+from .byteranges import RANGE_BYTES, MatrixSource, read_members
+
 
 def _field(i: int) -> Column:
     return F.get("f", F.lit(i))
@@ -132,10 +133,10 @@ def read_movielens_movies(spark: SparkSession, path: str, csv: bool = False) ->
     return f.select(_field(0).alias("item"), *[c.alias(n) for n, c in movie_fields(F.trim(_field(1)), _field(2)).items()])
 
 
-def read_item_json(spark: SparkSession, path: str, fields: str = "title string, description string, brand string, categories string") -> DataFrame:
-    """A JSON object {id: {...}} as a row an item; for small files, larger ones should be lines or Parquet."""
-    df = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, struct<{fields.replace(' ', ': ').replace(',: ', ', ')}>>")).alias("item", "m"))
-    return df.select("item", "m.*")
+def read_item_json(spark: SparkSession, path: str, fields: str = "title string, description string, brand string, categories string", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A JSON object {id: {...}} as a row an item, read in byte ranges, so that one large file is many tasks."""
+    rows = read_members(spark, path, range_bytes)
+    return rows.select(F.col("name").alias("item"), F.from_json("value", fields).alias("m")).select("item", "m.*")
 
 
 def read_id_map(spark: SparkSession, path: str) -> DataFrame:
@@ -147,20 +148,10 @@ def read_id_map(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_embedding_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """item_id (the row's place), embedding from .npy files; each file is read in one task, large tables belong in Parquet."""
-
-    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        for frame in frames:
-            for content in frame["content"]:
-                m = np.load(io.BytesIO(content), allow_pickle=False)
-                for i in range(0, len(m), 10_000):
-                    part = m[i : i + 10_000]
-                    yield pd.DataFrame({"item_id": np.arange(i, i + len(part)), "embedding": list(part.astype(np.float32))})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(load, "item_id long, embedding array<float>")
+def read_embedding_matrix(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """item_id (the row's place), embedding from a .npy file, or from all of a folder in the order of their names; ranges of rows are tasks."""
+    spark.dataSource.register(MatrixSource)
+    return spark.read.format("npy_matrix").option("rangeBytes", range_bytes).load(path)
 
 
 def read_codebook(spark: SparkSession, path: str, width: int) -> DataFrame:

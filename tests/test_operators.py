@@ -167,6 +167,34 @@ def test_item_json_and_matrix(spark, tmp_path):
     assert rows(readers.read_item_json(spark, f"file://{tmp_path}/item.json"), "item", "title", "brand") == [("3", "t", "b")]
     np.save(tmp_path / "m.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
     assert rows(readers.read_embedding_matrix(spark, f"file://{tmp_path}/m.npy"), "item_id", "embedding") == [(0, [0, 1]), (1, [2, 3]), (2, [4, 5])]
+    big = np.random.default_rng(15).normal(size=(5000, 24))
+    np.save(tmp_path / "big.npy", big)  # doubles, read as floats
+    got = readers.read_embedding_matrix(spark, f"{tmp_path}/big.npy", 10_000)
+    assert got.rdd.getNumPartitions() > 90
+    assert np.allclose(np.array([x.embedding for x in got.orderBy("item_id").collect()]), big.astype(np.float32))
+    np.save(tmp_path / "f.npy", np.asfortranarray(big))
+    with pytest.raises(Exception, match="no plain matrix"):
+        readers.read_embedding_matrix(spark, f"{tmp_path}/f.npy").count()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 1 << 20])
+def test_json_members_from_any_range(tmp_path, size):
+    """Quotes, braces and backslashes in strings, nested values and scalars, cut at every place."""
+    import json
+
+    from lumenrec.sources import byteranges as B
+
+    want = {"a": {"title": 'x " } \\', "n": [1, {"b": "]"}]}, 'q"\\': {"é😀": "\\\\"}, "s": "a:{", "t": None, "": {}, "ü": [[], "{"], "z": 5}
+    for text in (json.dumps(want), json.dumps(want, ensure_ascii=False, indent=3).replace('":', '" :\n '), "{}", " "):
+        path = str(tmp_path / "x.json")
+        raw = text.encode()
+        (tmp_path / "x.json").write_bytes(raw)
+        inside, depth, got = False, 0, []
+        for at in range(0, len(raw), size):
+            got += B.members(path, at, min(len(raw), at + size), inside, depth)
+            turns, out, in_ = B.summary(B._unescaped(path, at, raw[at : at + size]))
+            inside, depth = inside != turns, depth + (in_ if inside else out)
+        assert [(k, json.loads(v)) for k, v in got] == (list(want.items()) if len(text) > 5 else [])
 
 
 def test_layout_tokens_and_prefixes(spark):
