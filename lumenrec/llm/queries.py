@@ -175,18 +175,27 @@ ORACLES["op4_quality_rules"] = quality_oracle()
 
 
 def _license_oracle() -> str:
-    rows = ", ".join(f"({t}, '{label}', [{', '.join(repr(w) for w in licenses.template_words(text))}])" for t, (label, text) in enumerate(licenses.TEMPLATES))
+    words_in = lambda ws: "[" + ", ".join(map(repr, ws)) + "]::VARCHAR[]"
+    rows = []
+    for label, text in licenses.TEMPLATES:
+        tw = licenses.template_words(text)
+        telling = [w for w in tw if w in licenses.TELLING and len(tw) <= licenses.SHORT]
+        rows.append(f"('{label}', {words_in(tw)}, {len(licenses.template_run(text))}, {words_in(telling)})")
     at = " OR ".join("(" + " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(p.split(), 1)) + ")" for p in licenses.PHRASES)
     base = ", ".join(f"CASE WHEN contains(joined, ' {p} ') THEN '{label}' END" for p, label in licenses.PHRASES.items())
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    enough = f">= ceil({licenses.CONTAINMENT} * len(tw) - 1e-9)"
     return rf"""
-WITH t(t, label, tw) AS (VALUES {rows}),
+WITH t(label, tw, run, telling) AS (VALUES {", ".join(rows)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, {low} AS low, regexp_extract_all({low}, '{word}') AS words FROM documents),
 j AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS joined FROM d),
 p AS (SELECT *, list_filter(range(0, len(words)), lambda i: {at}) AS pl, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM j),
-b AS (SELECT r, regexp_extract_all(unnest(string_split(low, chr(10))), '{word}') AS bw FROM d),
-m AS (SELECT r, label, len(list_intersect(list_distinct(bw), tw))::DOUBLE / len(tw) AS c FROM b, t WHERE len(list_intersect(list_distinct(bw), tw)) >= ceil({licenses.CONTAINMENT} * len(tw) - 1e-9)),
+l AS (SELECT r, regexp_extract_all(unnest(string_split(low, chr(10))), '{word}') AS bw FROM d),
+v AS (SELECT r, label, tw, telling, unnest(list_transform(list_filter(range(0, len(words)), lambda i: list_contains(tw, words[i + 1])), lambda i: list_slice(words, i + 1, i + run))) AS bw
+  FROM d, t WHERE contains(low, chr(10)) AND len(list_intersect(list_distinct(words), tw)) {enough}),
+b AS (SELECT r, label, tw, telling, list_distinct(bw) AS bw FROM v UNION ALL SELECT r, label, tw, telling, list_distinct(bw) FROM l, t),
+m AS (SELECT r, label, len(list_intersect(bw, tw))::DOUBLE / len(tw) AS c FROM b WHERE len(list_intersect(bw, tw)) {enough} AND len(list_intersect(bw, telling)) = len(telling)),
 g AS (SELECT r, list(DISTINCT label) AS more, max(c) AS best FROM m GROUP BY r)
 SELECT p.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(pl) AS BIGINT) AS n_base, CAST(list_min(pl) AS BIGINT) AS first_word, CAST(list_max(pl) AS BIGINT) AS last_word,
   array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(g.more, [])))), ',') AS labels,

@@ -57,3 +57,24 @@ def test_windows_match_brute_force(spark):
             if best >= licenses.CONTAINMENT * len(set(run)) - 1e-9:
                 want[i, k] = best
     assert got == want
+
+
+def test_sql_knows_windows_and_telling_words(spark):
+    """Wrapped notices with words exchanged, and what only resembles short templates, against the DuckDB oracle."""
+    import duckdb
+
+    from lumenrec.llm import queries
+    from tests.conftest import plain
+
+    r, texts = random.Random(8), ["Licensed under CC BY 4.0.", "Released under the BSD License.", "Licensed under the Python License,\nVersion 2.0.", "Released under\nthe BSD License.", "Released under\nthe MIT License.", None, ""]
+    for _, run, _ in RUNS:
+        for drop in range(5):
+            w = list(run)
+            for _ in range(drop):
+                w[r.randrange(len(w))] = f"other{drop}"
+            texts.append("".join(x + r.choice("    \n") for x in [f"x{i}" for i in range(r.randint(0, 9))] + w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.scan(docs).toPandas()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert plain(got) == plain(con.sql(queries.ORACLES["op8_license_scan"]).df()) and (got.labels != got.base_labels).sum() > 20
