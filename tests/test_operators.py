@@ -99,6 +99,22 @@ def test_one_user_with_a_third_of_all_rows(spark):
     assert I.in_order(df.limit(0)).count() == 0
 
 
+def test_staged_tables_can_be_deleted(spark, tmp_path):
+    import os
+
+    from lumenrec.functions.staging import Scratch, shared_dir, stage, staged_tables
+
+    before = set(os.listdir(shared_dir(spark)))
+    with staged_tables(spark):
+        stage(spark.range(3), "outer")
+        with staged_tables(spark):
+            df = Scratch(spark, "inner").stage(spark.range(5).withColumn("k", F.col("id") % 2), "x", by="k")
+            df.write.parquet(str(tmp_path / "kept"))
+            inside = set(os.listdir(shared_dir(spark))) - before
+        assert {x.split("-")[0] for x in inside} == {"outer", "inner"} and len(set(os.listdir(shared_dir(spark))) - before) == 1
+    assert set(os.listdir(shared_dir(spark))) == before and spark.read.parquet(str(tmp_path / "kept")).count() == 5
+
+
 def test_padding(spark):
     df = spark.createDataFrame([([1, 2, 3],)], "h array<bigint>")
     assert df.select(I.pad_or_truncate(F.col("h"), 5)).first()[0] == [0, 0, 1, 2, 3]
