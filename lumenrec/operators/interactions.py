@@ -68,9 +68,9 @@ def k_core(df: DataFrame, user_k: int = 5, item_k: int = 5, trace: list[tuple[in
     degrees = scratch.stage(edges.groupBy("side", "node", "bucket").agg(F.sum("n").alias("degree")), "degrees")
     fallen = scratch.stage(degrees.where(F.col("degree") < least("side")).select("side", "node", "bucket"), "fallen")
     lost, every = None, None
-    while not fallen.isEmpty():
+    # as many as there are buckets at most
+    while at := [r[0] for r in fallen.select("bucket").distinct().collect()]:
         every = fallen if every is None else every.unionByName(fallen)
-        at = [r[0] for r in fallen.select("bucket").distinct().collect()]  # as many as there are buckets at most
         near = edges.where(F.col("bucket").isin(at)).join(fallen.select("side", "node"), ["side", "node"])
         near = near.select((1 - F.col("side")).alias("side"), F.col("other").alias("node"), F.col("n").alias("now"), F.lit(0).cast("long").alias("before"))
         if lost is not None:

@@ -120,7 +120,7 @@ def beams(spark, d, true=None, tokens=None):
 
 def labelled_beams(spark, d):
     """Candidates by their tokens, and the tokens of each user's true item."""
-    true, tokens = T.truth(spark, d), codes.tokens_of(spark, d)[0]
+    true, tokens = stage(T.truth(spark, d), "truth"), codes.tokens_of(spark, d)[0]
     return beams(spark, d, true, tokens), true.join(tokens, "item_id").select("user", F.col("tokens").alias("label"))
 
 
@@ -181,7 +181,7 @@ _ALPHA_BY_USER = """SELECT i1."user", round(coalesce(x.g, 0) / idcg, 9) AS alpha
 
 @query(cte("cand", "cates", **_ALPHA) + _ALPHA_BY_USER)
 def alpha_ndcg(spark, d):
-    rows = T.ordered(spark, d)
+    rows = stage(T.ordered(spark, d), "ordered")
     return R.alpha_ndcg_at_k(T.candidates(spark, d, T.truth(spark, d, rows)), last_three(rows), known(spark, d)).withColumn("alpha_ndcg", F.round("alpha_ndcg", 9))
 
 
@@ -200,7 +200,7 @@ def scd(spark, d):
 @query(cte("cand", "tokens", "cates", **_HITS, **_SCD, **_ALPHA, rn=_RN, dv=_DIV, an=_ALPHA_BY_USER) + """SELECT 'recall@' || k AS metric, round(recall, 9) AS value, (SELECT count(*) FROM hits) AS users FROM rn UNION ALL SELECT 'ndcg@' || k, round(ndcg, 9), (SELECT count(*) FROM hits) FROM rn
 UNION ALL SELECT 'diversity', round(avg(diversity), 9), count(*) FROM dv UNION ALL SELECT 'scd', round(avg(scd), 9), count(*) FROM s UNION ALL SELECT 'weighted_scd', round(avg(weighted_scd), 9), count(*) FROM s UNION ALL SELECT 'alpha_ndcg', round(avg(alpha_ndcg), 9), count(*) FROM an""")
 def metric_summary(spark, d):
-    rows, k = T.ordered(spark, d), known(spark, d)
+    rows, k = stage(T.ordered(spark, d), "ordered"), known(spark, d)
     y = T.truth(spark, d, rows)
     c = stage(T.candidates(spark, d, y), "candidates")
     tokens = codes.tokens_of(spark, d)[0]
@@ -248,6 +248,6 @@ def mmr_rerank(spark, d):
     p="SELECT r.lam, recall, diversity FROM r JOIN dv ON r.lam = dv.lam",
 ) + """SELECT lam, round(recall, 9) AS recall, round(diversity, 9) AS diversity, coalesce(recall > max(recall) OVER (ORDER BY diversity DESC, recall DESC, lam ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS pareto FROM p""")
 def lambda_sweep(spark, d):
-    true = T.truth(spark, d)
+    true = stage(T.truth(spark, d), "truth")
     s = R.lambda_sweep(rated(spark, d, true), true, LAMBDAS)
     return s.select("lam", F.round("recall", 9).alias("recall"), F.round("diversity", 9).alias("diversity"), "pareto")

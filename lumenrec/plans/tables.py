@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenrec.functions.staging import stage
 from lumenrec.operators import interactions as I
 
 DAY = 86_400
@@ -28,8 +27,8 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered(spark: SparkSession, d: str) -> DataFrame:
-    """First interactions in each user's order; staged."""
-    return stage(I.in_order(I.first_interactions(interactions(spark, d))).drop("rating", "ts"), "ordered")
+    """First interactions in each user's order."""
+    return I.in_order(I.first_interactions(interactions(spark, d))).drop("rating", "ts")
 
 
 def splits(spark: SparkSession, d: str) -> DataFrame:
