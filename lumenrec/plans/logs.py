@@ -242,7 +242,8 @@ def embedding_matrix_roundtrip(spark, d):
     path = new_path(spark, "matrix")
     byteranges.write_matrix(T.vectors(spark, d), path)
     rows = readers.read_embedding_matrix(spark, path, 1 << 14)
-    return rows.select("item_id", joined(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))).alias("embedding"))
+    thousand = F.lit(1000).cast("float")  # the product is single, as the numbers are: before rounding, doubles differ from it
+    return rows.select("item_id", joined(F.transform("embedding", lambda x: F.round(x * thousand).cast("long"))).alias("embedding"))
 
 
 @query(cte("meta") + "SELECT item AS idx, title, brand, categories FROM meta")
