@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenrec.functions.staging import stage
+from lumenrec.functions.staging import delete, new_path, stage
 
-from .linear import mapped, moments, principal_components, symmetric_factors
+from .interactions import dense_ids
+from .linear import in_blocks, mapped, moments, principal_components, symmetric_factors, tile_sums, tiled
 from .ranges import with_previous
 
 MISSING = "N/A"
@@ -103,14 +104,20 @@ def cf_item_vectors(rows: DataFrame, dim: int = 32, window: int = 5, iterations:
     below), so that products of vectors approximate the matrix. The iteration runs on the matrix plus one on the diagonal,
     which makes the greatest values the largest. Items are rows of a table throughout; items near no other have no vector.
     """
-    pairs = stage(item_cooccurrence(rows, window), "cooccurrence")
-    degree = pairs.groupBy("item_id").agg(F.sum("n").alias("d"))
-    other = degree.toDF("other", "e")
-    weights = stage(pairs.join(degree, "item_id").join(other, "other").select("item_id", "other", (F.col("n") / F.sqrt(F.col("d") * F.col("e"))).alias("weight")), "weights")
-    if weights.isEmpty():
+    spark = rows.sparkSession
+    ids = dense_ids(rows.where("item IS NOT NULL"), "item")
+    known = stage(rows.join(ids, "item", "left").select("user", "part", "here", "pos", "n", "idx"), "numbered-rows")  # rows without an item keep their places
+    path = new_path(spark, "tiles")
+    tiles = tiled(with_previous(known, "user", "idx", window, "near").where("idx IS NOT NULL"), path)
+    # a vector of ones gives each item's total
+    ones = new_path(spark, "ones")
+    in_blocks(ids.select(F.col("item").alias("item_id"), "idx", F.lit(1.0).alias("scale"), F.array(F.lit(1.0)).alias("embedding")), ones)
+    totals = tile_sums(tiles, ones, np.ones((1, 1))).groupBy("idx").agg(F.sum(F.get("embedding", F.lit(0))).alias("d"))
+    items = stage(totals.join(ids, "idx").select(F.col("item").cast("long").alias("item_id"), "idx", (1 / F.sqrt("d")).alias("scale")), "factor-items")
+    if items.isEmpty():
         return rows.select(F.col("item").cast("long").alias("item_id"), F.array().cast("array<double>").alias("embedding")).limit(0), np.zeros(0)
-    diagonal = degree.select("item_id", F.col("item_id").alias("other"), F.lit(1.0).alias("weight"))
-    vectors, values = symmetric_factors(weights.unionByName(diagonal), dim, iterations, seed=seed)
+    vectors, values = symmetric_factors(tiles, items, dim, iterations, seed=seed)
+    delete(spark, path)
     return mapped(vectors, lambda x: x * np.sqrt(np.maximum(values - 1, 0))), values - 1
 
 
