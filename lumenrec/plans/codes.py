@@ -287,7 +287,8 @@ def generative_sequences(spark, d):
 @query(cte("ordered", "tokens", **_SAMPLES) + f"""SELECT "user", pos, array_to_string(list_concat(list_transform(range(0, 20 - len(flat)), lambda i: 0), [{_EOS} - 2], flat, [{_EOS} - 1], [{_EOS} - 3, {_EOS} - 3, {_EOS} - 3, {_EOS} - 3]), ',') AS input_ids, array_to_string(goal, ',') AS target_codes FROM g""")
 def masked_sequences(spark, d):
     t, layout = tokens_of(spark, d)
-    s = K.masked_sequences(samples(spark, d), t, layout, 4, 5, training=False)
+    rows = K.with_tokens(T.ordered(spark, d), t, 4)
+    s = K.masked_sequences(I.sliding_window_samples(rows, 5), t, layout, 4, 5, training=False)
     return s.select("user", "pos", joined("input_ids").alias("input_ids"), joined("target_codes").alias("target_codes"))
 
 
