@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenrec.functions.staging import delete, new_path, stage
+from lumenrec.functions.staging import delete, new_path, stage, written
 
 from .interactions import dense_ids
 from .linear import in_blocks, mapped, moments, principal_components, symmetric_factors, tile_sums, tiled
@@ -106,14 +106,16 @@ def cf_item_vectors(rows: DataFrame, dim: int = 32, window: int = 5, iterations:
     """
     spark = rows.sparkSession
     ids = dense_ids(rows.where("item IS NOT NULL"), "item")
-    known = stage(rows.join(ids, "item", "left").select("user", "part", "here", "pos", "n", "idx"), "numbered-rows")  # rows without an item keep their places
-    path = new_path(spark, "tiles")
+    path, numbers, ones = new_path(spark, "tiles"), new_path(spark, "numbered-rows"), new_path(spark, "ones")
+    # rows without an item keep their places
+    known = written(rows.join(ids, "item", "left").select("user", "part", "here", "pos", "n", "idx"), numbers)
     tiles = tiled(with_previous(known, "user", "idx", window, "near").where("idx IS NOT NULL"), path)
+    delete(spark, numbers)
     # a vector of ones gives each item's total
-    ones = new_path(spark, "ones")
     in_blocks(ids.select(F.col("item").alias("item_id"), "idx", F.lit(1.0).alias("scale"), F.array(F.lit(1.0)).alias("embedding")), ones)
     totals = tile_sums(tiles, ones, np.ones((1, 1))).groupBy("idx").agg(F.sum(F.get("embedding", F.lit(0))).alias("d"))
     items = stage(totals.join(ids, "idx").select(F.col("item").cast("long").alias("item_id"), "idx", (1 / F.sqrt("d")).alias("scale")), "factor-items")
+    delete(spark, ones)
     if items.isEmpty():
         return rows.select(F.col("item").cast("long").alias("item_id"), F.array().cast("array<double>").alias("embedding")).limit(0), np.zeros(0)
     vectors, values = symmetric_factors(tiles, items, dim, iterations, seed=seed)

@@ -11,7 +11,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenrec.functions.staging import delete, new_path, shuffles_dropped
+from lumenrec.functions.staging import delete, new_path, shuffles_dropped, written
 
 
 def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
@@ -41,7 +41,8 @@ def summed(vectors: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> tuple[
         if total is not None:
             yield pa.record_batch([pa.array(np.arange(len(total)), pa.int32()), pa.array(np.full(len(total), n)), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "n", "total"])
 
-    found = added(vectors.select("item_id", "embedding").mapInArrow(run, "row int, n long, total array<double>"), "row").collect()
+    with shuffles_dropped(vectors.sparkSession):
+        found = added(vectors.select("item_id", "embedding").mapInArrow(run, "row int, n long, total array<double>"), "row").collect()
     found.sort(key=lambda r: r["row"])
     return np.array([r["total"] for r in found]), found[0]["n"] if found else 0
 
@@ -137,10 +138,7 @@ def tiled(near: DataFrame, path: str) -> DataFrame:
             yield packed()
 
     rows = near.select("idx", "near").mapInArrow(run, "stripe int, block int, size int, entries binary")
-    rows = rows.repartition("stripe", F.floor(F.col("block") / _GROUP)).sortWithinPartitions("stripe", "block")
-    with shuffles_dropped(near.sparkSession):
-        rows.write.parquet(path)
-    return near.sparkSession.read.schema(rows.schema).parquet(path)
+    return written(rows.repartition("stripe", F.floor(F.col("block") / _GROUP)).sortWithinPartitions("stripe", "block"), path)
 
 
 def in_blocks(vectors: DataFrame, path: str) -> DataFrame:
@@ -216,7 +214,7 @@ def symmetric_factors(tiles: DataFrame, items: DataFrame, dim: int, iterations:
     """
     spark, width = items.sparkSession, dim + extra
 
-    def written(vectors: DataFrame) -> tuple[str, DataFrame, np.ndarray]:
+    def round_of(vectors: DataFrame) -> tuple[str, DataFrame, np.ndarray]:
         path = new_path(spark, "factors")
         x = in_blocks(vectors, path)
         return path, x, _to_unit_columns(x)
@@ -228,9 +226,9 @@ def symmetric_factors(tiles: DataFrame, items: DataFrame, dim: int, iterations:
         return sums.select("idx", F.array(*[f"x{k}" for k in range(width)]).alias("embedding")).join(items, "idx")
 
     draw = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "item_id") / F.lit(float(1 << 63))
-    now = written(items.withColumn("embedding", F.array(*[draw(k) for k in range(width)])))
+    now = round_of(items.withColumn("embedding", F.array(*[draw(k) for k in range(width)])))
     for _ in range(iterations):
-        before, now = now, written(product(*now))
+        before, now = now, round_of(product(*now))
         delete(spark, before[0])
     _, x, turn = now
     y = product(*now).select("idx", F.col("embedding").alias("y"))
